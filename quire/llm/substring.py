@@ -12,7 +12,6 @@ a third of all documents hold reaches a reducer once a chunk, not once a documen
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +19,15 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from . import countmin
+from . import countmin, places
 from .shared import partitions, with_row_key
-from .textvec import U64, Words, anchored_runs, chunks, covered, planes, prefix, ranges, span_hash, unplanes, window_hash
+from .textvec import U64, Words, anchored_runs, chunks, planes, prefix, ranges, span_hash, unplanes, window_hash
 
 WINDOW = 35
 GRAM = 12
+_FOUND = 4_000_000  # places held before they are sent on
 _BASE_B = 0xD6E8FEB86659FD93 | 1
 
 
@@ -60,31 +61,10 @@ def _decode(raw: bytes):
     return np.cumsum(h1, dtype=np.uint64), h2, flag, pos, ids[doc] if n else ids[:0], hashes[doc] if n else hashes[:0]
 
 
-def pack_places(places: np.ndarray) -> bytes:
-    places = np.sort(places)
-    return zstandard.ZstdCompressor(level=1).compress(planes(np.diff(places, prepend=0).astype(np.uint32)))
-
-
-def unpack_places(raw: bytes) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(raw)
-    return np.cumsum(unplanes(raw, np.uint32, len(raw) // 4), dtype=np.int64)
-
-
-def by_document(ids: np.ndarray, hashes: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(rk_id, rk_hash, places) for each document, places packed."""
-    order = np.lexsort((hashes, ids))
-    ids, hashes, pos = ids[order], hashes[order], pos[order]
-    edge = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])))) if len(ids) else np.zeros(0, int)
-    stop = np.append(edge[1:], len(ids))
-    for a in range(0, len(edge), 4096):
-        e, s = edge[a : a + 4096], stop[a : a + 4096]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[e]), pa.array(hashes[e]), pa.array([pack_places(pos[i:j]) for i, j in zip(e, s)], pa.binary())], ["rk_id", "rk_hash", "places"])
-
-
 def repeated_windows(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(rk_id, rk_hash, places): the starts, in words, of the windows whose word sequence starts elsewhere too.
 
-    ``keyed`` comes from :func:`shared.with_row_key`. A document has several rows, at most one a reducer.
+    ``keyed`` comes from :func:`shared.with_row_key`. Each document with places has one row.
     """
     spark = keyed.sparkSession
     if gram > window:
@@ -99,7 +79,7 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -
 
     sketch = spark.sparkContext.broadcast(countmin.build(keyed.select("text"), anchors, width))
     reducers = partitions(spark)
-    log_buckets = max(6, (4 * reducers - 1).bit_length())
+    log_buckets = places.log_buckets(reducers)
 
     def let_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,25 +102,20 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -
                 count = np.diff(np.append(edge, len(h1)))
                 ids, hashes = all_ids[chunk.rows], all_hashes[chunk.rows]
                 settled = np.repeat(count > 1, count)
-                rows = [(-1, b) for b in _settled(ids, hashes, doc[settled], pos[settled])]
+                rows = []
+                if settled.any():
+                    own = doc[settled]
+                    raw = places.encode((ids[own], hashes[own], pos[settled], np.ones(len(own), np.int64)))
+                    rows.append((int(places.bucket_of(hashes[own[:1]], log_buckets)[0]), True, raw))  # any bucket will do
                 k1, k2, flag, kdoc, kpos = h1[edge], h2[edge], count > 1, doc[edge], pos[edge]
                 bucket = (k1 >> U64(64 - log_buckets)).astype(np.int64)
                 cut = np.searchsorted(bucket, np.arange((1 << log_buckets) + 1))
-                rows += [(b, _encode(k1[a:c], k2[a:c], flag[a:c], kdoc[a:c], kpos[a:c], ids, hashes)) for b, (a, c) in enumerate(zip(cut[:-1], cut[1:])) if c > a]
-                yield _record([((hash_of(r[1]) if r[0] < 0 else r[0]), r[0] < 0, r[1]) for r in rows], ["bucket", "settled", "payload"], [pa.int64(), pa.bool_(), pa.binary()])
-
-    def hash_of(raw: bytes) -> int:  # settled places go anywhere; spread them
-        return int.from_bytes(hashlib.blake2b(raw, digest_size=4).digest(), "big") & ((1 << log_buckets) - 1)
-
-    def _settled(ids, hashes, doc, pos) -> list[bytes]:
-        if not len(doc):
-            return []
-        n = np.zeros(len(doc), np.uint64)
-        return [_encode(n, n.astype(np.uint32), np.ones(len(doc), bool), doc, pos, ids, hashes)]
+                rows += [(b, False, _encode(k1[a:c], k2[a:c], flag[a:c], kdoc[a:c], kpos[a:c], ids, hashes)) for b, (a, c) in enumerate(zip(cut[:-1], cut[1:])) if c > a]
+                yield _record(rows, ["bucket", "settled", "payload"], [pa.int64(), pa.bool_(), pa.binary()])
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
-        at, found, n = None, [], 0
+        at, found = None, []
 
         def close():
             if not held:
@@ -152,66 +127,62 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -
             edge = np.flatnonzero(np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))))
             count = np.diff(np.append(edge, len(h1)))
             rep = np.repeat((count > 1) | np.logical_or.reduceat(flag, edge), count) & ~flag
-            found.append((ids[rep], hashes[rep], pos[rep]))
+            found.append((ids[rep], hashes[rep], pos[rep], np.ones(int(rep.sum()), np.int64)))
 
         for batch in batches:
             for bucket, settled, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if bucket != at:
                     close()
                     at = bucket
-                    n = sum(len(x[0]) for x in found)
-                    if n > 4_000_000:
-                        yield from by_document(*(np.concatenate(x) for x in zip(*found)))
+                    if sum(len(x[0]) for x in found) > _FOUND:
+                        yield from places.rows(places.spread(places.joined(found), log_buckets))
                         found.clear()
-                h1, h2, flag, pos, ids, hashes = _decode(payload)
                 if settled:
-                    found.append((ids, hashes, pos.astype(np.int64)))
+                    found.append(places.decode(payload))
                 else:
+                    h1, h2, flag, pos, ids, hashes = _decode(payload)
                     held.append((h1, h2, flag, pos.astype(np.int64), ids, hashes))
         close()
         if found:
-            yield from by_document(*(np.concatenate(x) for x in zip(*found)))
+            yield from places.rows(places.spread(places.joined(found), log_buckets))
 
     through = keyed.select("rk_id", "rk_hash", "text").mapInArrow(let_through, "bucket long, settled boolean, payload binary")
-    return through.repartition(reducers, "bucket").sortWithinPartitions("bucket").mapInArrow(group, "rk_id long, rk_hash long, places binary")
-
-
-def with_places(keyed: DataFrame, places: DataFrame, *columns: str) -> DataFrame:
-    """``keyed`` with ``places``: the list of a document's packed places, or null."""
-    gathered = places.groupBy("rk_id", "rk_hash").agg(F.collect_list("places").alias("places"))
-    return keyed.join(gathered, ["rk_id", "rk_hash"], "left")
+    found = through.repartition(reducers, "bucket").sortWithinPartitions("bucket").mapInArrow(group, "bucket long, payload binary")
+    return places.by_document(found)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text, and the columns of ``docs`` named in ``carry``.
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text.
 
     One row for each row of ``docs``. Every word covered by a window of ``window`` words whose sequence also
     starts anywhere else, in the same document too, is removed; windows are judged on the input. Null and
     empty texts have no words and keep an empty text; a document shorter than a window keeps its words; rows that
-    repeat one another lose every window, as each starts elsewhere. Other columns are ignored. An empty table gives
-    an empty result. Rows with a null doc_id are documents of their own.
+    repeat one another lose every window, as each starts elsewhere. Columns named in
+    ``carry`` follow unchanged, others are ignored. An empty table gives an empty result. Rows with a null doc_id are documents of their own.
     """
-    keyed = with_row_key(docs)
-    joined = with_places(keyed, repeated_windows(keyed, window, gram))
+    keyed = with_row_key(docs, *(x for x in carry if x != "text"))
+    joined = keyed.join(repeated_windows(keyed, window, gram), ["rk_id", "rk_hash"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, places = batch.column("doc_id"), batch.column("places").to_pylist()
+            ids, packed = batch.column("doc_id"), batch.column("places").to_pylist()
             for chunk in chunks(batch, "text"):
                 words = chunk.words()
                 raw = chunk.buf.tobytes()
                 n_words, n_removed, kept = [], [], []
-                for d, packed in enumerate(places[chunk.rows]):
+                for d, found in enumerate(packed[chunk.rows]):
                     a, b = words.offs[d], words.offs[d + 1]
                     text = raw[chunk.offs[d] : chunk.offs[d + 1]].split()
                     n_words.append(b - a)
-                    if packed:
-                        gone = covered(b - a, np.concatenate([unpack_places(x) for x in packed]), window)
+                    if found:
+                        gone = places.covered(found, b - a, window)
                         text = [text[i] for i in np.flatnonzero(~gone)]
                         n_removed.append(int(gone.sum()))
                     else:
                         n_removed.append(0)
                     kept.append(b" ".join(text))
-                yield pa.RecordBatch.from_arrays([ids[chunk.rows.start : chunk.rows.stop], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+                yield pa.RecordBatch.from_arrays([ids[chunk.rows.start : chunk.rows.stop], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *(batch.column(x)[chunk.rows.start : chunk.rows.stop] for x in carry)], ["doc_id", "n_words", "n_removed", "kept_text", *carry])
 
-    return joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "places").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    rows = joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "places", *(x for x in carry if x != "text"))
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), *(rows.schema[x] for x in carry)])
+    return rows.mapInArrow(cut, schema)

@@ -25,14 +25,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import countmin
+from . import countmin, places
 from .shared import partitions, with_row_key
-from .substring import with_places
 from .textvec import U64, anchored_runs, byte_values, chunks, mix, planes, prefix, ranges, unplanes, window_hash
 
 DEPTH = 50
 GRAM = 16
 _PENDING = 120_000  # runs held before they are dealt
+_FOUND = 4_000_000  # places held before they are sent on
 
 
 def _first(x: np.ndarray) -> np.ndarray:
@@ -61,18 +61,6 @@ def sort_to_depth(flat: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.
     return members, group
 
 
-def _pack_runs(starts: np.ndarray, lens: np.ndarray) -> bytes:
-    order = np.argsort(starts, kind="stable")
-    starts, lens = starts[order], lens[order]
-    return zstandard.ZstdCompressor(level=1).compress(planes(np.diff(starts, prepend=0).astype(np.uint32)) + lens.astype(np.uint8).tobytes())
-
-
-def unpack_runs(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(raw)
-    n = len(raw) // 5
-    return np.cumsum(unplanes(raw[: 4 * n], np.uint32, n), dtype=np.int64), np.frombuffer(raw, np.uint8, n, 4 * n).astype(np.int64)
-
-
 class _Runs:
     """Runs side by side: ``ctx`` rows of bytes padded with zeros and closed by their count of suffixes."""
 
@@ -116,19 +104,8 @@ def _decode(raw: bytes, depth: int, wide: int) -> _Runs:
     return _Runs(ctx, m, docs[0][doc], docs[1][doc], lo.astype(np.int64))
 
 
-_NAMES = ["bucket", "settled", "rk_id", "rk_hash", "payload"]
-
-
 def _out(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()))], _NAMES)
-
-
-def _by_document(ids, hashes, starts, lens) -> Iterator[tuple[int, int, bytes]]:
-    order = np.lexsort((hashes, ids))
-    ids, hashes, starts, lens = ids[order], hashes[order], starts[order], lens[order]
-    edge = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])))) if len(ids) else []
-    for a, b in zip(edge, np.append(edge[1:], len(ids)) if len(ids) else []):
-        yield int(ids[a]), int(hashes[a]), _pack_runs(starts[a:b], lens[a:b])
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.binary()))], ["bucket", "settled", "payload"])
 
 
 def earlier_strings(keyed: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
@@ -151,7 +128,7 @@ def earlier_strings(keyed: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> D
 
     sketch = spark.sparkContext.broadcast(countmin.build(keyed.select("text"), digits, width))
     reducers = partitions(spark)
-    log_buckets = max(6, (4 * reducers - 1).bit_length())
+    log_buckets = places.log_buckets(reducers)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending, n = [], 0
@@ -163,12 +140,12 @@ def earlier_strings(keyed: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> D
             _, of, least = r.alike()
             later = r.ids > least[of]
             s = r.take(later)
-            rows = [(int(mix(np.array([h], np.int64).view(np.uint64))[0] >> U64(64 - log_buckets)), True, i, h, raw) for i, h, raw in _by_document(s.ids, s.hashes, s.lo, s.m)]
+            rows = [(b, True, raw) for b, raw in places.spread((s.ids, s.hashes, s.lo, s.m.astype(np.int64)), log_buckets)]
             r, bucket = r.take(~later), bucket[~later]
             order = np.argsort(bucket, kind="stable")
             r, bucket = r.take(order), bucket[order]
             cut = np.searchsorted(bucket, np.arange((1 << log_buckets) + 1))
-            rows += [(b, False, None, None, _encode(r.take(slice(i, j)), depth)) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:])) if j > i]
+            rows += [(b, False, _encode(r.take(slice(i, j)), depth)) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:])) if j > i]
             for i in range(0, len(rows), 4096):
                 yield _out(rows[i : i + 4096])
 
@@ -196,12 +173,7 @@ def earlier_strings(keyed: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> D
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
-        at = None
-
-        def answer(rows: list) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(rows), 4096):
-                part = rows[i : i + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.binary())], ["rk_id", "rk_hash", "places"])
+        at, found = None, []
 
         def close():
             if not held:
@@ -210,7 +182,7 @@ def earlier_strings(keyed: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> D
             held.clear()
             one, of, least = r.alike()
             later = r.ids > least[of]
-            found = [(r.ids[later], r.hashes[later], r.lo[later], r.m[later].astype(np.int64))]
+            found.append((r.ids[later], r.hashes[later], r.lo[later], r.m[later].astype(np.int64)))
             m = r.m[one].astype(np.int64)
             offset, owner = ranges(np.zeros(len(one), np.int64), m)  # every suffix of every distinct run
             flat = np.append(r.ctx[one].ravel(), np.zeros(8, np.uint8))
@@ -231,24 +203,26 @@ def earlier_strings(keyed: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> D
                     which, span = ranges(a, b)
                     rec = here[which]
                     found.append((r.ids[rec], r.hashes[rec], r.lo[rec] + start[span], count[span]))
-            ids, hashes, lo, lens = (np.concatenate(x) for x in zip(*found))
-            yield from answer(list(_by_document(ids, hashes, lo, lens)))
 
         for batch in batches:
-            passed = []
-            for bucket, settled, i, h, payload in zip(*(c.to_pylist() for c in batch.columns)):
-                if settled:
-                    passed.append((i, h, payload))
-                    continue
+            for bucket, settled, payload in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != at:
-                    yield from close()
+                    close()
                     at = bucket
-                held.append(_decode(payload, depth, wide))
-            yield from answer(passed)
-        yield from close()
+                    if sum(len(x[0]) for x in found) > _FOUND:
+                        yield from places.rows(places.spread(places.joined(found), log_buckets))
+                        found.clear()
+                if settled:
+                    found.append(places.decode(payload))
+                else:
+                    held.append(_decode(payload, depth, wide))
+        close()
+        if found:
+            yield from places.rows(places.spread(places.joined(found), log_buckets))
 
-    dealt = keyed.select("rk_id", "rk_hash", "text").mapInArrow(deal, "bucket long, settled boolean, rk_id long, rk_hash long, payload binary")
-    return dealt.repartition(reducers, "bucket").sortWithinPartitions("bucket").mapInArrow(finish, "rk_id long, rk_hash long, places binary")
+    dealt = keyed.select("rk_id", "rk_hash", "text").mapInArrow(deal, "bucket long, settled boolean, payload binary")
+    found = dealt.repartition(reducers, "bucket").sortWithinPartitions("bucket").mapInArrow(finish, "bucket long, payload binary")
+    return places.by_document(found)
 
 
 def remove_earlier_strings(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
@@ -261,25 +235,21 @@ def remove_earlier_strings(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM
     ``n_spans`` counts maximal removed runs. ``kept`` may split a character, so it is bytes.
     """
     keyed = with_row_key(docs)
-    joined = with_places(keyed, earlier_strings(keyed, depth, gram))
+    joined = keyed.join(earlier_strings(keyed, depth, gram), ["rk_id", "rk_hash"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, places = batch.column("doc_id"), batch.column("places").to_pylist()
+            ids, packed = batch.column("doc_id"), batch.column("places").to_pylist()
             for chunk in chunks(batch, "text"):
                 removed, spans, kept = [], [], []
-                for d, packed in enumerate(places[chunk.rows]):
+                for d, found in enumerate(packed[chunk.rows]):
                     raw = chunk.buf[chunk.offs[d] : chunk.offs[d + 1]]
-                    if not packed:
+                    if not found:
                         removed.append(0)
                         spans.append(0)
                         kept.append(raw.tobytes())
                         continue
-                    edges = np.zeros(len(raw) + 1, np.int64)
-                    for starts, lens in map(unpack_runs, packed):
-                        np.add.at(edges, starts, 1)
-                        np.add.at(edges, starts + lens - 1 + depth, -1)
-                    gone = np.cumsum(edges[:-1]) > 0
+                    gone = places.covered(found, len(raw), depth)
                     removed.append(int(gone.sum()))
                     spans.append(int((gone & ~np.concatenate(([False], gone[:-1]))).sum()))
                     kept.append(raw[~gone].tobytes())
