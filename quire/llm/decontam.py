@@ -47,15 +47,21 @@ def _lower(c: Chunk) -> Chunk:
     return Chunk(buf, c.offs, c.rows)
 
 
-def _words(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, documents' ranges of words): lower-cased, punctuation cut from the ends, empty ones left out."""
+def _words(c: Chunk, prefixes: tuple[int, ...] | None = None) -> tuple:
+    """(hash of each word, documents' ranges of words): lower-cased, punctuation cut from the ends, empty ones left out.
+
+    With ``prefixes`` the first is a list: the words' hashes, then those of their first so many bytes, told apart.
+    """
     c = _lower(c)
     w = c.words()
     core = np.flatnonzero(w.inside & ~_EDGE[c.buf])  # a word goes from its first such byte to its last
     lo, hi = np.searchsorted(core, w.starts), np.searchsorted(core, w.ends)
     full = lo < hi
     starts, ends = core[lo[full]], core[hi[full] - 1] + 1
-    h = span_hash(prefix(byte_values(c.buf)), starts, ends)
+    p = prefix(byte_values(c.buf))
+    h = span_hash(p, starts, ends)
+    if prefixes is not None:
+        h = [h, *(mix(span_hash(p, starts, np.minimum(starts + k, ends)) ^ U64(k)) for k in prefixes)]
     offs = np.concatenate(([0], np.cumsum(full)))[w.offs]
     return h, offs
 

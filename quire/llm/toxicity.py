@@ -1,9 +1,9 @@
 """Toxicity severity by cumulative-link ordinal regression over sparse text features.
 
 P(grade <= k) = sigmoid(t_k - w.x): one weight vector, shared by all thresholds t_1 < t_2 < ..., so that every grade's
-examples teach the same scale of severity. x says which of the selected word features a text has; features are hashed
-words, lower-cased without punctuation, chosen by their association with the grades in the training rows. The output is
-the expected severity, sum of k P(grade = k).
+examples teach the same scale of severity. x says which of the selected features a text has; features are hashed words
+and word beginnings, lower-cased without punctuation, chosen by their association with the grades in the training rows.
+The output is the expected severity, sum of k P(grade = k).
 """
 
 from __future__ import annotations
@@ -18,13 +18,15 @@ from pyspark.sql import functions as F
 from .decontam import _words
 from .textvec import U64, chunks
 
-LOG_FEATURES = 18
+LOG_FEATURES = 20
+#: Leading bytes of a word that are features besides the word, so that inflected and compounded forms share weight.
+PREFIXES = (4, 6)
 #: Labelled rows that the classifier is fitted on, those of least hash: a bounded sample, as a parameter.
 TRAIN_ROWS = 20_000
 #: Word features kept, the most associated ones, each in at least MIN_ROWS training rows.
-KEEP = 2_000
-MIN_ROWS = 4
-RIDGE = 0.001
+KEEP = 1_000
+MIN_ROWS = 6
+RIDGE = 0.0003
 GRADES = 3
 
 
@@ -34,13 +36,22 @@ def severity_grades(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), grade.alias("grade"))
 
 
-def _features(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray, int]]:
-    """(rows, row of each feature, feature) without repeats, chunk by chunk."""
+def _features(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(rows, row of each feature, feature, its value) without repeats, chunk by chunk.
+
+    A value is log(1 + 200 r), r the feature's share of the text's words, texts under 50 words counted as 50.
+    """
     for c in chunks(batch, "text"):
-        words, offs = _words(c) if len(c.buf) else (np.zeros(0, U64), np.zeros(c.n + 1, np.int64))
-        doc = np.repeat(np.arange(c.n), np.diff(offs)).astype(np.uint64)
-        pairs = np.unique(doc << U64(LOG_FEATURES) | (words >> U64(64 - LOG_FEATURES)))
-        yield c.rows, (pairs >> U64(LOG_FEATURES)).astype(np.int64), (pairs & U64((1 << LOG_FEATURES) - 1)).astype(np.int64), c.n
+        if len(c.buf):
+            keys, offs = _words(c, PREFIXES)
+            doc = np.repeat(np.arange(c.n), np.diff(offs)).astype(np.uint64)
+            pairs, count = np.unique(np.concatenate([doc << U64(LOG_FEATURES) | (k >> U64(64 - LOG_FEATURES)) for k in keys]), return_counts=True)
+            size = np.diff(offs)
+        else:
+            pairs, count, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(c.n, np.int64)
+        row = (pairs >> U64(LOG_FEATURES)).astype(np.int64)
+        value = np.log1p(200 * count / np.maximum(size[row], 50))
+        yield c.rows, row, (pairs & U64((1 << LOG_FEATURES) - 1)).astype(np.int64), value, c.n
 
 
 class OrdinalModel:
@@ -57,10 +68,10 @@ class OrdinalModel:
         return np.diff(np.concatenate((np.zeros((len(eta), 1)), below, np.ones((len(eta), 1))), axis=1), axis=1)
 
 
-def _loss(theta, rows, cols, n, k, y, ridge):
+def _loss(theta, rows, cols, values, n, k, y, ridge):
     """Penalised negative log-likelihood and gradient. theta: weights, first threshold, logs of the gaps."""
     w, t = theta[:k], np.concatenate(([theta[k]], theta[k] + np.cumsum(np.exp(theta[k + 1 :]))))
-    eta = np.bincount(rows, w[cols], minlength=n)
+    eta = np.bincount(rows, w[cols] * values, minlength=n)
     full = np.concatenate(([-np.inf], t, [np.inf]))
     s = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
     up, lo = s(full[y + 1] - eta), s(full[y] - eta)
@@ -73,7 +84,7 @@ def _loss(theta, rows, cols, n, k, y, ridge):
     inner = y > 0
     np.add.at(grad_t, y[inner] - 1, dl[inner] / p[inner])
     g = np.empty_like(theta)
-    g[:k] = np.bincount(cols, d_eta[rows], minlength=k) + ridge * n * w
+    g[:k] = np.bincount(cols, d_eta[rows] * values, minlength=k) + ridge * n * w
     g[k] = grad_t.sum()
     gaps = np.exp(theta[k + 1 :])
     g[k + 1 :] = gaps * np.cumsum(grad_t[::-1])[::-1][1:]
@@ -120,38 +131,41 @@ def fit(labelled: DataFrame, grades: int = GRADES, rows: int = TRAIN_ROWS, keep:
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grade = batch.column("grade")
-            for part, row, feature, n in _features(batch):
+            for part, row, feature, value, n in _features(batch):
                 cut = np.searchsorted(row, np.arange(n + 1))
-                lists = [feature[a:b] for a, b in zip(cut[:-1], cut[1:])]
-                yield pa.RecordBatch.from_arrays([grade[part.start : part.stop], pa.array(lists, pa.list_(pa.int32()))], ["grade", "features"])
+                lists = [[x[a:b] for a, b in zip(cut[:-1], cut[1:])] for x in (feature, value)]
+                yield pa.RecordBatch.from_arrays([grade[part.start : part.stop], pa.array(lists[0], pa.list_(pa.int32())), pa.array(lists[1], pa.list_(pa.float64()))], ["grade", "features", "values"])
 
     chosen = labelled.where(f"text is not null and grade between 0 and {grades - 1}").orderBy(F.xxhash64("text", "grade"), "text").limit(rows).select("text", "grade")
-    table = chosen.mapInArrow(extract, "grade int, features array<int>").toArrow()  # bounded by ``rows``
+    table = chosen.mapInArrow(extract, "grade int, features array<int>, values array<double>").toArrow()  # bounded by ``rows``
     y = table["grade"].to_numpy().astype(np.int64)
-    lists = table["features"].combine_chunks() if len(y) else None
     if not len(y):
         return OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.full(grades - 1, 20.0) + np.arange(grades - 1))
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.chunk(0)
-    sizes = np.diff(lists.offsets.to_numpy())
-    cols, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(y)), sizes)
+    sizes = table["features"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+    cols, values = (pa.concat_arrays([x.flatten() for x in table[c].chunks]).to_numpy() for c in ("features", "values"))
+    of = np.repeat(np.arange(len(y)), sizes)
+    return fit_arrays(y, of, cols, values, grades, keep)
+
+
+def fit_arrays(y: np.ndarray, of: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: int, keep: int) -> OrdinalModel:
+    """Fit on grades ``y`` and the features ``cols`` of rows ``of``, with their values."""
     # association with the grades: the correlation of presence with the grade, of words present often enough
     df = np.bincount(cols, minlength=1 << LOG_FEATURES).astype(float)
-    share = df / len(y)
-    cover = np.bincount(cols, (y - y.mean())[of], minlength=1 << LOG_FEATURES)
-    score = np.abs(cover) / np.sqrt(np.maximum(df * (1 - share), 1e-9))
+    cover = np.bincount(cols, (y - y.mean())[of] * values, minlength=1 << LOG_FEATURES)
+    mean, square = np.bincount(cols, values, minlength=1 << LOG_FEATURES) / len(y), np.bincount(cols, values * values, minlength=1 << LOG_FEATURES)
+    score = np.abs(cover) / np.sqrt(np.maximum(square - len(y) * mean * mean, 1e-9))
     score[(df < MIN_ROWS) | (df > 0.5 * len(y))] = -1
     best = np.argsort(-score, kind="stable")[:keep]
     best = np.sort(best[score[best] > 0])
     place = np.full(1 << LOG_FEATURES, -1)
     place[best] = np.arange(len(best))
     at = place[cols]
-    of, at, k = of[at >= 0], at[at >= 0], len(best)
+    of, values, at, k = of[at >= 0], values[at >= 0], at[at >= 0], len(best)
     shares = np.clip(np.cumsum(np.bincount(y, minlength=grades))[:-1] / len(y), 1e-4, 1 - 1e-4)
     t0 = np.log(shares / (1 - shares))
     gaps = np.log(np.maximum(np.diff(t0), 1e-3))
     ridge = RIDGE
-    theta = _minimise(lambda th: _loss(th, of, at, len(y), k, y, ridge), np.concatenate((np.zeros(k), t0[:1], gaps)))
+    theta = _minimise(lambda th: _loss(th, of, at, values, len(y), k, y, ridge), np.concatenate((np.zeros(k), t0[:1], gaps)))
     thresholds = np.concatenate(([theta[k]], theta[k] + np.cumsum(np.exp(theta[k + 1 :]))))
     return OrdinalModel(best, theta[:k], thresholds)
 
@@ -168,7 +182,7 @@ def grade(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = m.value
         for batch in batches:
-            eta = [np.bincount(row, model.table[feature], minlength=n) for _, row, feature, n in _features(batch)]
+            eta = [np.bincount(row, model.table[feature] * value, minlength=n) for _, row, feature, value, n in _features(batch)]
             p = model.probabilities(np.concatenate(eta) if eta else np.zeros(0))
             severity = p @ np.arange(p.shape[1])
             bad = 1 - p[:, 0]
