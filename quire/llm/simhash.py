@@ -74,8 +74,9 @@ def _mask(positions) -> int:
 _TRIPLES = [t for half in (range(4), range(4, 8)) for t in combinations(half, 3)]
 
 
-def _small_masks(bits: list[int], most: int) -> np.ndarray:
-    return np.array([sum(1 << b for b in c) for k in range(1, most + 1) for c in combinations(bits, k)], np.int64)
+def _masks(bits: list[int], most: int) -> np.ndarray:
+    """All ways to change one to ``most`` of the bits."""
+    return np.array([sum(1 << b for b in c) for k in range(1, most + 1) for c in combinations(bits, k)], np.uint64)
 
 
 class _Forest:
@@ -125,7 +126,7 @@ def _links(distance: int, wide: int):
             back = a + np.argsort(fp[a : a + c], kind="stable")
             varying = np.bitwise_or.reduce(own ^ own[0])
             bits = [b for b in range(64) if int(varying) >> b & 1]
-            for m in _small_masks(bits, distance).astype(np.uint64) if len(bits) < 63 else _wide_masks(bits, distance):
+            for m in _masks(bits, distance):
                 other = own ^ m
                 j = np.minimum(np.searchsorted(own, other), c - 1)
                 hit = own[j] == other
@@ -152,10 +153,6 @@ def _links(distance: int, wide: int):
     return run
 
 
-def _wide_masks(bits: list[int], most: int) -> np.ndarray:
-    return np.array([sum(1 << b for b in c) for k in range(1, most + 1) for c in combinations(bits, k)], np.uint64)
-
-
 def _post(fps: DataFrame, keys: list[Column]) -> DataFrame:
     both = F.explode(F.array(*[F.struct(F.lit(i).alias("posting"), k.alias("key")) for i, k in enumerate(keys)])).alias("p")
     return fps.select("fp", both).select("p.posting", "p.key", "fp")
