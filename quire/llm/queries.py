@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -92,4 +94,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_decontamination, op2_quality_rules, op3_substring_dedup, op4_language_id, op5_bpe_round_trip, op6_suffix_array_dedup, op7_simhash_near_dedup, op8_warc, op9_toxicity, op10_url_filters)
 }
-SQL: dict[str, str] = {}
+SQL = {"op3_substring_dedup": sql.SUBSTRING_DEDUP, "op6_suffix_array_dedup": sql.SUFFIX_DEDUP, "op8_warc": sql.WARC, "op10_url_filters": sql.URL_FILTERS}

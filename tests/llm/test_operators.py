@@ -1,0 +1,261 @@
+"""Each operator against brute force on small tables with nulls, empties, ties, repeated rows and clashing columns."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from quire.llm import bpe, countmin, decontam, langid, quality, simhash, substring, suffix, toxicity, urls, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+_rng = random.Random(7)
+_VOCAB = ["".join(_rng.choice("abcdefghé") for _ in range(_rng.randint(1, 9))) for _ in range(300)]
+
+
+def prose(n: int, rng: random.Random) -> str:
+    return " ".join(rng.choice(_VOCAB) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(3)
+    shared, short = prose(60, rng), prose(20, rng)
+    texts = [None, "", " \n\t ", "one", prose(34, rng), shared, shared, "x " + shared + " y", prose(40, rng) + "\n" + shared, "aa " * 120, short, short + " z", prose(3000, rng)]
+    out = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    return [*out, (3, "one", "en", "s", 0), (None, shared, None, None, None), (None, prose(50, rng), "en", "s", 0)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    df = spark.createDataFrame(rows, DOCS)
+    for name in ("places", "kept", "fp", "score", "bucket"):  # columns that clash with inner ones
+        df = df.withColumn(name, F.lit("x"))
+    return df.repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_substring_dedup(docs, rows, empty):
+    words = [(r[0], (r[1] or "").encode().split()) for r in rows]
+    seen = Counter(tuple(w[i : i + 35]) for _, w in words for i in range(len(w) - 34))
+    want = []
+    for doc_id, w in words:
+        gone = {j for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+        want.append((doc_id, len(w), len(gone), b" ".join(x for j, x in enumerate(w) if j not in gone).decode()))
+    got = [tuple(r) for r in substring.remove_repeats(docs).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert substring.remove_repeats(empty).count() == 0
+
+
+def test_suffix_dedup(docs, rows, empty):
+    items = sorted(((r[0] if r[0] is not None else 1 << 62), r[0], (r[1] or "").encode()) for r in rows)
+    first, want = {}, []
+    for key, _, raw in items:
+        for i in range(len(raw) - 49):
+            first.setdefault(raw[i : i + 50], key)
+    for key, doc_id, raw in items:
+        gone = [False] * len(raw)
+        for i in range(len(raw) - 49):
+            if first[raw[i : i + 50]] < key:
+                gone[i : i + 50] = [True] * 50
+        spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        want.append((doc_id, len(raw), sum(gone), spans, bytes(b for b, g in zip(raw, gone) if not g)))
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix.remove_earlier_strings(docs).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert suffix.remove_earlier_strings(empty).count() == 0
+
+
+def test_radix_passes():
+    rng = np.random.default_rng(1)
+    flat = np.append(rng.integers(97, 99, 4000).astype(np.uint8), np.zeros(8, np.uint8))
+    starts = np.arange(4000 - 13)
+    members, group = suffix.sort_to_depth(flat, starts, 13)
+    keys = [flat[s : s + 13].tobytes() for s in starts]
+    count = Counter(keys)
+    assert sorted(members) == [i for i, k in enumerate(keys) if count[k] > 1]
+    assert all(len({keys[m] for m in members[group == g]}) == 1 for g in np.unique(group))
+
+
+def test_sketch_never_underestimates(spark):
+    rng = np.random.default_rng(2)
+    keys = rng.integers(0, 5000, 8000).astype(np.uint64)
+    df = spark.createDataFrame([(int(k),) for k in keys], "k long").repartition(4)
+    sketch = countmin.build(df, lambda b: iter([b.column("k").to_numpy().astype(np.uint64)]), countmin.log_width(8000))
+    values, counts = np.unique(keys, return_counts=True)
+    said = sketch.repeated(values)
+    assert said[counts > 1].all() and said[counts == 1].mean() < 0.2
+
+
+def _fp(text: str | None) -> int:
+    w = (text or "").encode().lower().split()
+    sh = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    h = [xxhash.xxh64_intdigest(s, 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(docs, rows, empty):
+    got = simhash.near_duplicates(docs).collect()
+    prints = [(r[0], _fp(r[1])) for r in rows]
+    group = list(range(len(prints)))
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i][1] ^ prints[j][1]).bit_count() <= 3:
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    low = {g: min((p[0] for p, h in zip(prints, group) if h == g and p[0] is not None), default=None) for g in set(group)}
+    want = [(p[0], p[1], low[g]) for p, g in zip(prints, group)]
+    assert sorted(((r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in got), key=repr) == sorted(want, key=repr)
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("refine", [4, 1024])
+def test_simhash_links_in_dense_postings(spark, refine):
+    rng = random.Random(5)
+    base = rng.getrandbits(64)
+    values = {base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for _ in range(150)} | {rng.getrandbits(64) for _ in range(100)}
+    values = sorted(v - (1 << 64) if v >> 63 else v for v in values)
+    fps = spark.createDataFrame([(v,) for v in values], "fp long")
+    roots = {r.vertex: r.root for r in simhash.components(simhash.links(fps, refine=refine)).collect()}
+    group = {v: v for v in values}
+    for i, a in enumerate(values):
+        for b in values[:i]:
+            if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3 and group[a] != group[b]:
+                old, new = group[a], group[b]
+                group = {k: new if g == old else g for k, g in group.items()}
+    mine = {v: roots.get(v, v) for v in values}
+    same = lambda m: {frozenset(k for k in values if m[k] == g) for g in set(m.values())}
+    assert same(mine) == same(group)
+
+
+def test_smith_waterman():
+    rng = random.Random(9)
+
+    def plain(a, b):
+        best, h = 0, [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                h[i][j] = max(0, h[i - 1][j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
+                best = max(best, h[i][j])
+        return best
+
+    pairs = [(np.array([rng.randint(1, 5) for _ in range(rng.randint(1, 12))], np.uint64), np.array([rng.randint(1, 5) for _ in range(rng.randint(1, 25))], np.uint64)) for _ in range(60)]
+    assert decontam.smith_waterman(pairs)[:, 0].tolist() == [plain(a.tolist(), b.tolist()) for a, b in pairs]
+
+
+def test_decontamination(spark, empty):
+    rng = random.Random(11)
+    items = [(i, prose(30, rng)) for i in range(5)] + [(90, None), (91, ""), (92, "two words")]
+    words = items[0][1].split()
+    words[7], words[19] = "CHANGED", "Edited"
+    texts = [(0, prose(80, rng) + " " + items[1][1] + ", " + prose(20, rng)), (1, prose(50, rng) + " " + " ".join(words)), (2, prose(400, rng)), (3, None), (None, items[2][1].upper()), (5, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.matches(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()}
+    assert {k for k in got if k[1] < 90} == {(0, 1), (1, 0), (None, 2)}
+    assert got[0, 1].score == 1.0 and got[0, 1].start_word == 80 and got[0, 1].end_word == 110 and 0.8 < got[1, 0].score < 1
+    assert decontam.matches(empty, bench).count() == 0
+
+
+def test_quality_statistics_and_verdicts(spark, empty):
+    rng = random.Random(13)
+    texts = [None, "", "a b", "x # y $\nx # y $\n\nÉa", "w1 w2 w3 w4 w5 z w1 w2 w3 w4 w5"]
+    texts += [prose(rng.randint(60, 200), rng) for _ in range(200)] + [" ".join(w + "###$$$" for w in prose(120, rng).split()) for _ in range(5)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert (got[0].n_words, got[0].word_chars, got[0].base_failed) == (0, 0, True)
+    assert (got[3].n_words, got[3].word_chars, got[3].n_symbols, got[3].n_dup_lines) == (9, 10, 4, 1)
+    assert got[4].n_repeat_words == 10 and got[4].base_failed
+    assert all(not got[i].kept for i in range(205, 210)) and sum(got[i].kept for i in range(5, 205)) >= 198
+    assert quality.judge(empty).count() == 0
+
+
+def test_language_mixture(spark, empty):
+    en, fr = "the house and the garden with this water ", "la maison et le jardin avec cette eau "
+    rows = [(i, (en if i % 2 else fr) * 6, "en" if i % 2 else "fr") for i in range(40)]
+    names, logs = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert names == ["en", "fr"]
+    texts = [(0, en), (1, fr), (2, None), (3, "123 !!"), (4, en * 3 + fr * 3), (5, "")]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(texts, "doc_id long, text string"), names, logs).collect()}
+    assert [got[i].lang_pred for i in (0, 1, 2, 3, 5)] == ["en", "fr", "und", "und", "und"]
+    assert set(got[4].proportions) == {"en", "fr"} and abs(got[4].score - 0.5) < 0.1 and got[0].score == 1.0
+    assert langid.identify(empty, names, logs).count() == 0 and langid.learn(empty)[0] == []
+
+
+def test_bpe_against_the_library(spark, rows, docs):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    merges = bpe.Merges(open(path, encoding="utf-8").read())
+    rng = random.Random(17)
+    bits = ["a", " ", "the", "'s", "'r", "e", "é", "日本", "\n", "\t", "  ", "12", "!!", "<|endoftext|>", "<|end", "😀", "\x85", "\xa0", "ing", "----"]
+    for _ in range(300):
+        s = "".join(rng.choice(bits) for _ in range(rng.randint(0, 50)))
+        want = library.encode(s, add_special_tokens=False).ids
+        for cut in (10**6, 3):
+            enc, out = bpe.Encoder(merges), b""
+            for i in range(0, len(s), cut):
+                out += enc.feed(s[i : i + cut])
+            assert [int(x) for x in (out + enc.finish()).split(b",")[:-1]] == want
+    for s in ("ab" * 20000, " " * 9000 + "x", "=" * 20000):
+        enc = bpe.Encoder(merges)
+        assert [int(x) for x in (b"".join(enc.feed(p) for p in bpe._slices(s)) + enc.finish()).split(b",")[:-1]] == library.encode(s, add_special_tokens=False).ids
+    got = {(r.doc_id, r.ids_sha256, r.decoded_sha256, r.n_tokens) for r in bpe.round_trip(docs, path).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    ids = [(r[0], r[1] or "", library.encode(r[1] or "", add_special_tokens=False).ids) for r in rows]
+    assert got == {(d, sha(",".join(map(str, i))), sha(t), len(i)) for d, t, i in ids}
+    back = bpe.decode(bpe.encode(docs.where("doc_id is not null"), path), path).collect()
+    assert {(r.doc_id, r.text) for r in back} == {(r[0], r[1] or "") for r in rows if r[0] is not None}
+
+
+def test_warc(spark):
+    rows = [(1, "http://a/1", "<p>x</p>"), (2, "http://a/2", "<p>x</p>"), (3, None, None), (4, "http://b/\r\nx", ""), (5, "http://c", "é" * 50000), (5, "http://c", "é" * 50000), (None, "u", "<p>x</p>"), (-7, "u", "solo")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("original", F.lit(1))
+    got = warc.archive_and_read(pages).collect()
+    digest = lambda h: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
+    want = [(1, 8, digest("<p>x</p>"), "response", None), (2, 8, digest("<p>x</p>"), "revisit", 1), (3, 0, digest(""), "response", None), (4, 0, digest(""), "revisit", 3),
+            *[(5, 100000, digest("é" * 50000), "response", None)] * 2, (None, 8, digest("<p>x</p>"), "revisit", 1), (-7, 4, digest("solo"), "response", None)]
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=repr) == sorted(want, key=repr)
+    assert {r.html for r in got if r.record_type == "response"} == {"<p>x</p>", "", "é" * 50000, "solo"}
+    assert warc.archive_and_read(pages.limit(0)).count() == 0
+
+
+def test_toxicity(spark, empty):
+    rng = random.Random(19)
+    bad = ["vile", "nasty", "awful"]
+    rows, labels = [], []
+    for i in range(400):
+        toxic = i % 4 == 0
+        w = prose(60, rng).split()
+        if toxic:
+            for k in rng.sample(range(60), 3):
+                w[k] = rng.choice(bad)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 8 != 0), int(toxic)))
+    df = spark.createDataFrame([*rows, (1000, None), (1001, "")], "doc_id long, text string")
+    lab = spark.createDataFrame([*labels, (None, 1, 1), (5000, 1, None)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(df, lab).collect()}
+    assert np.mean([got[i].toxic == (i % 4 == 0) for i in range(400)]) > 0.97
+    assert not got[1000].toxic and got[1000].severity == got[1001].severity
+    assert toxicity.toxicity(empty, lab).count() == 0
+
+
+def test_url_parts_rules_and_reputation(spark):
+    cases = [(1, "http://A.Example.ORG/es/x?q#f"), (2, "https://example.org/en/17"), (3, "http://x.com/fr/1"), (4, "http://x.com/de/1"), (5, "http://x.com"), (6, "no scheme"), (7, None), (8, "http://com/de/?x"), (9, "http://notexample.org/es/"), (10, "http://h.net?a/b"), (11, "http://É.net/É#x")]
+    cases += [(100 + i, f"http://bad.net/{i}") for i in range(40)] + [(200 + i, f"http://good.net/{i}") for i in range(40)]
+    labels = [(100 + i, True) for i in range(40)] + [(200 + i, False) for i in range(40)] + [(10, True), (None, True), (3, None)]
+    got = {r.page_id: r for r in urls.filter_urls(spark.createDataFrame(cases, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad boolean")).collect()}
+    assert [(got[i].host, got[i].path) for i in (1, 5, 6, 7, 10, 11)] == [("a.example.org", "/es/x"), ("x.com", ""), ("", ""), ("", ""), ("h.net", ""), ("É.net", "/É")]
+    assert [(got[i].rule, got[i].verdict) for i in (1, 2, 3, 4, 8, 9)] == [("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"), ("com/de/", "block"), ("org/", "allow")]
+    assert got[101].verdict == "block" and got[201].verdict == "allow" and got[5].rule is None
+    assert got[10].bad_rate_bound < got[101].bad_rate_bound  # one bad page alone weighs less
