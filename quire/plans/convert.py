@@ -12,11 +12,12 @@ from quire.config import ConversionConfig
 from quire.functions.text import file_name
 from quire.operators import align, cleanup, coverage, expand, grouping, lookup, order, qa, render, sections
 from quire.sources import idml, packages
+from quire.staging import cut
 
 
 @dataclass
 class Conversion:
-    """The tables of a conversion; all lazy."""
+    """The tables of a conversion. Those that others use are written once; the rest are lazy."""
 
     parts: DataFrame
     pages: DataFrame
@@ -50,8 +51,8 @@ def convert(parts: DataFrame, config: ConversionConfig | None = None, links: Dat
     config = config or ConversionConfig()
     spark = parts.sparkSession
     good = parts.where("part_name <> '!error'")
-    pages, frames = idml.layout(good)
-    paragraphs = idml.paragraphs(good, config.compat)
+    pages, frames = (cut(t, n) for t, n in zip(idml.layout(good), ("pages", "frames")))
+    paragraphs = cut(idml.paragraphs(good, config.compat), "paragraphs")
     placed = order.place(frames, config.reading_order, idml.story_order(good))
     if links is None:
         links = spark.createDataFrame([], "doc_id string, name string, path string")
@@ -59,15 +60,16 @@ def convert(parts: DataFrame, config: ConversionConfig | None = None, links: Dat
         equations = spark.createDataFrame([], "basename string, latex string, display boolean")
     inline = paragraphs.select("doc_id", F.explode("runs").alias("r")).where("r.image_uri <> ''").select("doc_id", F.col("r.image_uri").alias("link_uri"), F.lit(1 << 30).alias("first_ix"))
     refs = frames.where("kind = 'image'").select("doc_id", "link_uri", F.col("frame_ix").alias("first_ix")).unionByName(inline)
-    assets = lookup.resolve_assets(refs, links, outcomes=outcomes)
-    blocks = expand.reconstruct(placed, paragraphs, assets if config.convert_assets else None)
+    assets = cut(lookup.resolve_assets(refs, links, outcomes=outcomes), "assets")
+    blocks = cut(expand.reconstruct(placed, paragraphs, assets if config.convert_assets else None), "blocks")
     blocks = lookup.inline_images(blocks, equations, assets, payloads, dpi=config.eq_render_dpi)
-    blocks = cleanup.drop_layout_panels(cleanup.clean(blocks))
+    blocks = cut(cleanup.drop_layout_panels(cleanup.clean(blocks)), "blocks")
     if pdf_blocks is not None:
-        blocks = align.align_positions(blocks, pdf_blocks)
+        blocks = cut(align.align_positions(blocks, pdf_blocks), "blocks")
         if visuals is not None:
-            blocks = align.recover_visuals(blocks, visuals)
-    blocks = grouping.hoist_question_headers(grouping.group_examples(grouping.merge_anchored(blocks)))
+            blocks = cut(align.recover_visuals(blocks, visuals), "blocks")
+    blocks = cut(grouping.group_examples(grouping.merge_anchored(blocks)), "blocks")
+    blocks = cut(grouping.hoist_question_headers(blocks), "blocks")
     sectioned = sections.section_blocks(blocks)
     secs = sections.sections(sectioned)
     docs = good.select("doc_id").distinct()
