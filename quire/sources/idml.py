@@ -16,6 +16,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from quire import schema
 from quire.functions.geometry import bounding_box
+from quire.staging import cut
 
 from .packages import last_of_each, spreads, stories
 
@@ -228,7 +229,8 @@ def layout(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     from quire.operators.lookup import assign_pages
     from quire.operators.sequence import running_before
 
-    all_ = items(parts).join(spread_order(parts), ["doc_id", "part_name"]).withColumn("r", bounding_box(F.col("bounds"), F.col("transform")))
+    # parsed once: three tables come from it
+    all_ = cut(items(parts).join(spread_order(parts), ["doc_id", "part_name"]), "items").withColumn("r", bounding_box(F.col("bounds"), F.col("transform")))
     counts = all_.groupBy("doc_id", "spread_ix").agg(F.count_if(F.col("kind") == "page").alias("n"))
     base = running_before(counts, ["doc_id"], ["spread_ix"], "n", "page_base").drop("n")
     all_ = all_.join(base, ["doc_id", "spread_ix"])
