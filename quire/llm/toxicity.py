@@ -16,13 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontam import _words
+from .shared import staged
 from .textvec import U64, chunks
 
 LOG_FEATURES = 20
 #: Leading bytes of a word that are features besides the word, so that inflected and compounded forms share weight.
 PREFIXES = (4, 6)
 #: Labelled rows that the classifier is fitted on, those of least hash: a bounded sample, as a parameter.
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 8_000
 #: Word features kept, the most associated ones, each in at least MIN_ROWS training rows.
 KEEP = 1_000
 MIN_ROWS = 6
@@ -125,47 +126,73 @@ def _minimise(f, theta: np.ndarray, rounds: int = 300) -> np.ndarray:
     return theta
 
 
-def fit(labelled: DataFrame, grades: int = GRADES, rows: int = TRAIN_ROWS, keep: int = KEEP) -> OrdinalModel:
-    """Fit on ``labelled(text, grade)``: at most ``rows`` of its rows, those of least hash. Without rows, all is grade 0."""
+_STATS = ("n", "v", "vv", "yv")
+
+
+def _choose(stats: dict[str, np.ndarray], feature: np.ndarray, rows: int, mean: float, keep: int) -> np.ndarray:
+    """The features whose values correlate most with the grade, of those present often enough; sorted."""
+    cover = stats["yv"] - mean * stats["v"]
+    spread = stats["vv"] - stats["v"] * stats["v"] / max(1, rows)
+    score = np.abs(cover) / np.sqrt(np.maximum(spread, 1e-9))
+    score[(stats["n"] < MIN_ROWS) | (stats["n"] > 0.5 * rows)] = -1
+    order = np.lexsort((feature, -score))[:keep]
+    return np.sort(feature[order[score[order] > 0]])
+
+
+def fit(labelled: DataFrame, grades: int = GRADES, keep: int = KEEP) -> OrdinalModel:
+    """Fit on every row of ``labelled(text, grade)``, a bounded sample. Without rows, all is grade 0.
+
+    The features' statistics are summed by the executors; only the chosen features' values come to the driver.
+    """
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, 1 << LOG_FEATURES))
+        for batch in batches:
+            y = batch.column("grade").to_numpy()
+            for part, row, feature, value, _ in _features(batch):
+                for i, x in enumerate((np.ones(len(value)), value, value * value, value * y[part][row])):
+                    total[i] += np.bincount(feature, x, minlength=1 << LOG_FEATURES)
+        at = np.flatnonzero(total[0])
+        for a in range(0, len(at), 1 << 16):
+            part = at[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *(pa.array(t[part]) for t in total)], ["feature", *_STATS])
+
+    counts = {r.grade: r.n for r in labelled.groupBy("grade").agg(F.count("*").alias("n")).collect()}
+    rows = sum(counts.values())
+    if not rows:
+        return OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.full(grades - 1, 20.0) + np.arange(grades - 1))
+    mean = sum(g * n for g, n in counts.items()) / rows
+    sums = labelled.select("text", "grade").mapInArrow(summed, "feature long, " + ", ".join(f"{x} double" for x in _STATS))
+    table = sums.groupBy("feature").agg(*[F.sum(x).alias(x) for x in _STATS]).where(F.col("n") >= MIN_ROWS).toPandas()  # 2**LOG_FEATURES rows at most
+    best = _choose({x: table[x].to_numpy(float) for x in _STATS}, table["feature"].to_numpy(np.int64), rows, mean, keep)
+    chosen = labelled.sparkSession.sparkContext.broadcast(best)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(1 << LOG_FEATURES, -1)
+        place[chosen.value] = np.arange(len(chosen.value))
         for batch in batches:
             grade = batch.column("grade")
             for part, row, feature, value, n in _features(batch):
+                at = place[feature]
+                row, at, value = row[at >= 0], at[at >= 0], value[at >= 0]
                 cut = np.searchsorted(row, np.arange(n + 1))
-                lists = [[x[a:b] for a, b in zip(cut[:-1], cut[1:])] for x in (feature, value)]
+                lists = [[x[a:b] for a, b in zip(cut[:-1], cut[1:])] for x in (at, value)]
                 yield pa.RecordBatch.from_arrays([grade[part.start : part.stop], pa.array(lists[0], pa.list_(pa.int32())), pa.array(lists[1], pa.list_(pa.float64()))], ["grade", "features", "values"])
 
-    chosen = labelled.where(f"text is not null and grade between 0 and {grades - 1}").orderBy(F.xxhash64("text", "grade"), "text").limit(rows).select("text", "grade")
-    table = chosen.mapInArrow(extract, "grade int, features array<int>, values array<double>").toArrow()  # bounded by ``rows``
-    y = table["grade"].to_numpy().astype(np.int64)
-    if not len(y):
-        return OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.full(grades - 1, 20.0) + np.arange(grades - 1))
-    sizes = table["features"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
-    cols, values = (pa.concat_arrays([x.flatten() for x in table[c].chunks]).to_numpy() for c in ("features", "values"))
-    of = np.repeat(np.arange(len(y)), sizes)
-    return fit_arrays(y, of, cols, values, grades, keep)
-
-
-def fit_arrays(y: np.ndarray, of: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: int, keep: int) -> OrdinalModel:
-    """Fit on grades ``y`` and the features ``cols`` of rows ``of``, with their values."""
-    # association with the grades: the correlation of presence with the grade, of words present often enough
-    df = np.bincount(cols, minlength=1 << LOG_FEATURES).astype(float)
-    cover = np.bincount(cols, (y - y.mean())[of] * values, minlength=1 << LOG_FEATURES)
-    mean, square = np.bincount(cols, values, minlength=1 << LOG_FEATURES) / len(y), np.bincount(cols, values * values, minlength=1 << LOG_FEATURES)
-    score = np.abs(cover) / np.sqrt(np.maximum(square - len(y) * mean * mean, 1e-9))
-    score[(df < MIN_ROWS) | (df > 0.5 * len(y))] = -1
-    best = np.argsort(-score, kind="stable")[:keep]
-    best = np.sort(best[score[best] > 0])
-    place = np.full(1 << LOG_FEATURES, -1)
-    place[best] = np.arange(len(best))
-    at = place[cols]
-    of, values, at, k = of[at >= 0], values[at >= 0], at[at >= 0], len(best)
+    got = labelled.select("text", "grade").mapInArrow(extract, "grade int, features array<int>, values array<double>").toArrow()  # the sample's rows, chosen features only
+    y = got["grade"].to_numpy().astype(np.int64)
+    sizes = got["features"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+    cols, values = (pa.concat_arrays([x.flatten() for x in got[c].chunks]).to_numpy() for c in ("features", "values"))
+    return fit_arrays(y, np.repeat(np.arange(len(y)), sizes), cols, values, grades, best)
+
+
+def fit_arrays(y: np.ndarray, of: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: int, best: np.ndarray) -> OrdinalModel:
+    """Fit on grades ``y`` and, of rows ``of``, the features ``best[cols]`` with their values."""
+    k = len(best)
     shares = np.clip(np.cumsum(np.bincount(y, minlength=grades))[:-1] / len(y), 1e-4, 1 - 1e-4)
     t0 = np.log(shares / (1 - shares))
     gaps = np.log(np.maximum(np.diff(t0), 1e-3))
-    ridge = RIDGE
-    theta = _minimise(lambda th: _loss(th, of, at, values, len(y), k, y, ridge), np.concatenate((np.zeros(k), t0[:1], gaps)))
+    theta = _minimise(lambda th: _loss(th, of, cols, values, len(y), k, y, RIDGE), np.concatenate((np.zeros(k), t0[:1], gaps)))
     thresholds = np.concatenate(([theta[k]], theta[k] + np.cumsum(np.exp(theta[k + 1 :]))))
     return OrdinalModel(best, theta[:k], thresholds)
 
@@ -191,7 +218,19 @@ def grade(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, severity double, grade int, toxic boolean, p_toxic double")
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """(text, grade) of at most ``rows`` labelled documents, those of least hash; a document's worst label counts.
+
+    Ids meet ids first; the texts of the chosen few are then picked out by a broadcast of at most ``rows`` ids.
+    """
+    graded = severity_grades(labels).groupBy("doc_id").agg(F.max("grade").alias("grade"))
+    ids = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    chosen = graded.join(ids, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    chosen = staged(chosen, "labelled")
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return staged(texts.join(F.broadcast(chosen), "doc_id").select("text", "grade"), "training")
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """Fit on the labelled rows of ``docs`` and grade all of ``docs``."""
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(severity_grades(labels), "doc_id")
-    return grade(docs, fit(known, rows=rows))
+    """Fit on a bounded sample of the labelled rows of ``docs`` and grade all of ``docs``."""
+    return grade(docs, fit(training_rows(docs, labels, rows)))
