@@ -7,6 +7,8 @@ later in the list, and its y starts with the former x, which now stands behind t
 back by at most the largest sum of the x's over such chains of rules: tokens that end that far before the
 cut are final. The sum is found in one pass over the list.
 
+Words recur, so the transducer's output for short pieces is remembered, within a bound.
+
 The transducer keeps the bytes after its last emitted token. Whenever these exceed the lookahead, it tokenises them,
 emits the tokens that are final and keeps the rest. It finds tokens left to right, longest first, going back where a
 neighbouring pair could not both survive the merges; only the merges' own result has all pairs compatible.
@@ -18,6 +20,8 @@ import codecs
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from operator import itemgetter
 
 import pyarrow as pa
 import regex
@@ -32,7 +36,9 @@ _OPEN = {"L": regex.compile(r"\p{L}*"), "N": regex.compile(r"\p{N}*"), "S": rege
 
 SLICE = 1 << 16  # characters read at a time
 _LONG = 1 << 13  # characters after which an unfinished piece goes to the transducer as it comes
-_MEMO = 150_000  # pieces remembered
+_MEMO = 300_000  # pieces, and units, remembered
+#: White space other than space and line feed: fixed values. Python's own extra separators are in it, for caution.
+_OTHER = regex.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _NEVER = 1 << 40
 
 
@@ -71,10 +77,10 @@ class Merges:
         # a token that its own bytes do not merge into never comes out
         self.ids = {t: i for t, i in self.ids.items() if i in self.born and (self.born[i] < 0 or self._apart(self.left[i], self.right[i], self.born[i]))}
         self.longest = max(map(len, self.ids))
-        self.reach: dict[bytes, int] = {}  # the longest token that starts with these two bytes
+        self.reach: dict[bytes, int] = {}  # the longest token that starts with these four bytes
         for t in self.ids:
-            if len(t) > 1:
-                self.reach[t[:2]] = max(self.reach.get(t[:2], 1), len(t))
+            if len(t) > 3:
+                self.reach[t[:4]] = max(self.reach.get(t[:4], 3), len(t))
         self.shorter = {i: next((self.ids[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.ids), None) for t, i in self.ids.items()}
         self.lookahead = self._lookahead()
         self._fits: dict[int, bool] = {}
@@ -115,7 +121,7 @@ class Merges:
 
     def _longest_at(self, text: bytes, at: int) -> int:
         ids = self.ids
-        for k in range(min(self.reach.get(text[at : at + 2], 1), len(text) - at), 1, -1):
+        for k in range(min(self.reach.get(text[at : at + 4], 3), len(text) - at), 1, -1):
             found = ids.get(text[at : at + k])
             if found is not None:
                 return found
@@ -184,6 +190,23 @@ class _Memo(dict):
         return out
 
 
+class _Units(dict):
+    """Ids of what a space and the characters up to the next space give, by these characters.
+
+    A space after anything but white space always begins a piece, so such units tokenise alone. They are looked up
+    whole; one not yet seen is cut into pieces, which are looked up in turn.
+    """
+
+    def __init__(self, memo: _Memo):
+        self.memo = memo
+
+    def __missing__(self, unit: str) -> bytes:
+        if len(self) >= _MEMO:
+            self.clear()
+        out = self[unit] = b"".join(map(self.memo.__getitem__, _PIECE.findall(" " + unit)))
+        return out
+
+
 def _digits(ids: list[int]) -> bytes:
     return ("%d," * len(ids) % tuple(ids)).encode() if ids else b""
 
@@ -191,9 +214,10 @@ def _digits(ids: list[int]) -> bytes:
 class Encoder:
     """Encodes a text as it comes; memory does not grow with the text. Output: decimal ids, each with a comma."""
 
-    def __init__(self, merges: Merges, memo: _Memo | None = None):
+    def __init__(self, merges: Merges, memo: _Memo | None = None, units: _Units | None = None):
         self.merges = merges
         self.memo = memo if memo is not None else _Memo(merges)
+        self.units = units if units is not None else _Units(self.memo)
         self.special = regex.compile("|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True)))) if merges.special else None
         self.guard = max(map(len, merges.special), default=1) - 1
         self.ahead = ""  # may hold the start of a special token
@@ -231,6 +255,15 @@ class Encoder:
         if self.run is not None:
             self.held = text
             return b"".join(out)
+        cut = text.rfind(" ")
+        if cut > 0 and "  " not in text and "\n " not in text and _OTHER.search(text) is None:
+            first, *units = text[:cut].split(" ")
+            out += map(self.memo.__getitem__, _PIECE.findall(first))
+            if len(units) > 1:
+                out += itemgetter(*units)(self.units)
+            elif units:
+                out.append(self.units[units[0]])
+            text = text[cut:]
         if end:
             out += map(self.memo.__getitem__, _PIECE.findall(text))
             return b"".join(out)
@@ -280,7 +313,9 @@ class Decoder:
 
     def feed(self, digits: bytes) -> str:
         """``digits``: decimal ids, each with a comma."""
-        return self.state.decode(b"".join(map(self.digits.__getitem__, digits.split(b",")[:-1])))
+        ids = digits.split(b",")
+        ids.pop()
+        return self.state.decode(b"".join(itemgetter(*ids)(self.digits) if len(ids) > 1 else map(self.digits.__getitem__, ids)))
 
     def finish(self) -> str:
         return self.state.decode(b"", True)
@@ -293,6 +328,14 @@ def _slices(text: str) -> Iterable[str]:
     return (text[i : i + SLICE] for i in range(0, len(text), SLICE))
 
 
+@lru_cache(maxsize=2)
+def _loaded(source: str) -> tuple[Merges, _Memo, _Units]:
+    """The vocabulary and what is remembered of it, kept by a worker from task to task."""
+    merges = Merges(source)
+    memo = _Memo(merges)
+    return merges, memo, _Units(memo)
+
+
 def _broadcast(docs: DataFrame, path: str):
     with open(path, encoding="utf-8") as f:  # on the driver; a vocabulary is a file of fixed size
         return docs.sparkSession.sparkContext.broadcast(f.read())
@@ -307,12 +350,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     source = _broadcast(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = Merges(source.value)
-        memo = _Memo(merges)
+        merges, memo, units = _loaded(source.value)
         for batch in batches:
             ids = []
             for text in batch.column("text").to_pylist():
-                enc, got = Encoder(merges, memo), []
+                enc, got = Encoder(merges, memo, units), []
                 for part in _slices(text or ""):
                     got += enc.feed(part).split(b",")[:-1]
                 ids.append([int(i) for i in got + enc.finish().split(b",")[:-1]])
@@ -326,7 +368,7 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     source = _broadcast(tokens, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dec = Decoder(Merges(source.value))
+        dec = Decoder(_loaded(source.value)[0])
         for batch in batches:
             out = []
             for ids in batch.column("ids").to_pylist():
@@ -346,12 +388,12 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     source = _broadcast(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = Merges(source.value)
-        memo, dec = _Memo(merges), Decoder(merges)
+        merges, memo, units = _loaded(source.value)
+        dec = Decoder(merges)
         for batch in batches:
             counts, ids_sha, text_sha = [], [], []
             for text in batch.column("text").to_pylist():
-                enc, n, a, b, comma = Encoder(merges, memo), 0, hashlib.sha256(), hashlib.sha256(), False
+                enc, n, a, b, comma = Encoder(merges, memo, units), 0, hashlib.sha256(), hashlib.sha256(), False
                 dec.reset()
                 for part in (*_slices(text or ""), None):
                     got = enc.finish() if part is None else enc.feed(part)
