@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-Pass one counts, over all texts, every n-gram of the test items. An item's seeds are its n-grams that are rare in the
-corpus, the rarest half at least, so an item always has seeds, even one whose copies made all its n-grams
-common. Pass two finds seeds in the texts, joins each place to the items that have the seed, and aligns the item with
-the passage around it: edited and paraphrased copies keep some seed and most of the words in order. A pair's score is
-the best alignment's, over that of a perfect copy.
+An item's seeds are all its n-grams, however common: copies of an item make its own n-grams common, so a seed left out
+for its count would hide the edited copies beside them. One pass finds seeds in the texts, joins each place to the
+items that have the seed, and aligns the item with the passage around it: edited and paraphrased copies keep some seed
+and most of the words in order. What makes common n-grams cheap is a bound that no match can miss: a score of s needs
+s / MATCH matched words, so a passage with fewer words of the item is not aligned. A pair's score is the best
+alignment's, over that of a perfect copy.
 
 Items are the query set: they are broadcast in blocks of bounded size, and each block meets all texts. Texts
 are never shuffled. Words are compared lower-cased, without punctuation at their ends.
@@ -19,18 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textvec import U64, Chunk, byte_values, chunks, mix, prefix, span_hash, window_hash
+from .textvec import U64, Chunk, byte_values, chunks, mix, prefix, ranges, span_hash, window_hash
 
 GRAM = 3
-#: An n-gram is rare if the corpus has it at most once in so many texts (and at least RARE_LEAST times is rare).
-RARE_EVERY = 10_000
-RARE_LEAST = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 #: Words around a seed that are aligned, beyond the item's own length, on either side.
 MARGIN = 8
 #: Words of the items that one block broadcasts.
 BLOCK_WORDS = 2_000_000
+#: Seeds, or words of passages, that are looked at together. Bounds a worker's memory, not what is processed.
+SLICE = 1 << 20
 _EDGE = np.zeros(256, bool)
 _EDGE[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 
@@ -82,22 +82,23 @@ class Items:
         keys_, owners_ = (np.concatenate(keys), np.concatenate(owners)) if ids else (np.zeros(0, U64), np.zeros(0, np.int64))
         order = np.argsort(keys_, kind="stable")
         self.keys, self.owners = keys_[order], owners_[order]
-        self.unique = np.unique(self.keys)
-        self.filter = _Filter(self.unique)
-
-    def rare(self, counts: np.ndarray, limit: int) -> "Items":
-        """Keep as seeds the n-grams counted ``limit`` times at most, and each item's rarer half."""
-        n = counts[np.searchsorted(self.unique, self.keys)]
-        order = np.lexsort((self.keys, n, self.owners))
-        size = np.bincount(self.owners, minlength=len(self.ids))
-        first = np.cumsum(size) - size
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order)) - first[self.owners[order]]
-        keep = (n <= limit) | (2 * place < size[self.owners])
-        self.keys, self.owners = self.keys[keep], self.owners[keep]
-        self.unique = np.unique(self.keys)
-        self.filter = _Filter(self.unique)
-        return self
+        self.filter = _Filter(np.unique(self.keys))
+        held = np.repeat(np.arange(len(ids)), np.diff(self.offs))
+        self.held = _Filter(np.unique(_of_item(self.words, held)))
+
+    def may_match(self, words: np.ndarray, own: np.ndarray, lo: np.ndarray, hi: np.ndarray, threshold: float) -> np.ndarray:
+        """Which passages [lo, hi) of ``words`` hold so many words of their item that the threshold can be met."""
+        out = np.zeros(len(own), bool)
+        need = threshold * np.diff(self.offs)[own] - 1e-9
+        total = np.cumsum(hi - lo)
+        at = 0
+        while at < len(own):
+            to = max(at + 1, int(np.searchsorted(total, total[at] + SLICE, side="right")))
+            place, of = ranges(lo[at:to], hi[at:to])
+            n = np.bincount(of[self.held.maybe(_of_item(words[place], own[at:to][of]))], minlength=to - at)
+            out[at:to] = n >= need[at:to]
+            at = to
+        return out
 
 
 class _Filter:
@@ -109,15 +110,24 @@ class _Filter:
         self.bits[keys >> U64(64 - self.log)] = True
         self.keys = keys
 
+    def maybe(self, h: np.ndarray) -> np.ndarray:
+        """Whether each key may be present; never false for one that is."""
+        return self.bits[h >> U64(64 - self.log)]
+
     def places(self, h: np.ndarray) -> np.ndarray:
         """Places in h whose key is present."""
-        at = np.flatnonzero(self.bits[h >> U64(64 - self.log)])
+        at = np.flatnonzero(self.maybe(h))
         if not len(at) or not len(self.keys):
             return at[:0]
         j = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
         return at[self.keys[j] == h[at]]
 
 
+def _of_item(words: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Hash of a word as one of an item."""
+    return mix(words ^ mix(item.astype(U64) + U64(1)))
+
+
 def grams(words: np.ndarray, gram: int) -> np.ndarray:
     """Hashes of n-grams; of a shorter text, its whole word sequence."""
     if not len(words):
@@ -219,32 +229,8 @@ def _text_grams(words: np.ndarray, offs: np.ndarray, gram: int) -> np.ndarray:
 
 
 def _block_matches(docs: DataFrame, items, gram: int, threshold: float) -> DataFrame:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it = items.value
-        total, texts = np.zeros(len(it.unique), np.int64), 0
-        for batch in batches:
-            texts += batch.num_rows
-            for c in chunks(batch, "text"):
-                if not len(c.buf):
-                    continue
-                words, offs = _words(c)
-                h = _text_grams(words, offs, gram)
-                at = it.filter.places(h)
-                total += np.bincount(np.searchsorted(it.unique, h[at]), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(total[at], texts), pa.int64())], ["key", "n"])
-
-    rows = docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()  # one row an n-gram of the block
-    counts, texts = np.zeros(len(items.value.unique), np.int64), 0
-    for r in rows:
-        if r.key < 0:
-            texts = r.n
-        else:
-            counts[r.key] = r.n
-    seeds = docs.sparkSession.sparkContext.broadcast(items.value.rare(counts, max(RARE_LEAST, texts // RARE_EVERY)))
-
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it = seeds.value
+        it = items.value
         lens = np.diff(it.offs)
         for batch in batches:
             all_ids = batch.column("doc_id").to_pylist()
@@ -264,34 +250,35 @@ def _block_matches(docs: DataFrame, items, gram: int, threshold: float) -> DataF
                     continue
                 words, offs = _words(c)
                 h = _text_grams(words, offs, gram)
-                at = it.filter.places(h)
-                if not len(at):
-                    continue
-                a, b = np.searchsorted(it.keys, h[at]), np.searchsorted(it.keys, h[at], side="right")
-                size = b - a
-                which = np.repeat(np.arange(len(at)), size)
-                own = it.owners[a[which] + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)]
-                pos = at[which]
-                doc = np.searchsorted(offs, pos, side="right") - 1
-                # passages: the seeds of one item that are near each other share one
-                order = np.lexsort((pos, own, doc))
-                doc, own, pos = doc[order], own[order], pos[order]
-                reach = lens[own] + MARGIN
-                new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (own[1:] != own[:-1]) | (pos[1:] - pos[:-1] > reach[1:])))
-                edge = np.flatnonzero(new)
-                stop = np.append(edge[1:], len(pos)) - 1
-                for e, s in zip(edge, stop):
-                    d, i = int(doc[e]), int(own[e])
-                    lo, hi = max(offs[d], pos[e] - reach[e]), min(offs[d + 1], pos[s] + gram + reach[s])
+                places = it.filter.places(h)
+                first, last = np.searchsorted(it.keys, h[places]), np.searchsorted(it.keys, h[places], side="right")
+                total = np.cumsum(last - first)
+                done = 0
+                while done < len(places):
+                    to = max(done + 1, int(np.searchsorted(total, total[done] + SLICE, side="right")))
+                    seed, which = ranges(first[done:to], last[done:to])
+                    own, pos = it.owners[seed], places[done:to][which]
+                    done = to
+                    doc = np.searchsorted(offs, pos, side="right") - 1
+                    # passages: the seeds of one item that are near each other share one
+                    order = np.lexsort((pos, own, doc))
+                    doc, own, pos = doc[order], own[order], pos[order]
+                    reach = lens[own] + MARGIN
+                    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (own[1:] != own[:-1]) | (pos[1:] - pos[:-1] > reach[1:])))
+                    edge = np.flatnonzero(new)
+                    stop = np.append(edge[1:], len(pos)) - 1
+                    doc, own, reach = doc[edge], own[edge], reach[edge]
+                    lo, hi = np.maximum(offs[doc], pos[edge] - reach), np.minimum(offs[doc + 1], pos[stop] + gram + reach)
                     # a long chain of seeds is aligned in overlapping pieces, each longer than the item could span
-                    step = 4 * int(reach[e])
-                    for x in range(int(lo), int(hi), step):
-                        y = min(int(hi), x + step + 2 * int(reach[e]))
-                        waiting.append((c.rows.start + d, i, x - int(offs[d]), it.words[it.offs[i] : it.offs[i + 1]], words[x:y]))
-                        if y == hi:
-                            break
-                    if len(waiting) >= 256:
-                        settle()
+                    step = 4 * reach
+                    pieces, of = ranges(np.zeros(len(edge), np.int64), np.maximum(1, -(-(hi - lo - 2 * reach) // step)))
+                    doc, own, lo = doc[of], own[of], lo[of] + pieces * step[of]
+                    hi = np.minimum(hi[of], lo + step[of] + 2 * reach[of])
+                    for k in np.flatnonzero(it.may_match(words, own, lo, hi, threshold)).tolist():
+                        i, d = int(own[k]), int(doc[k])
+                        waiting.append((c.rows.start + d, i, int(lo[k] - offs[d]), it.words[it.offs[i] : it.offs[i + 1]], words[lo[k] : hi[k]]))
+                        if len(waiting) >= 256:
+                            settle()
             if waiting:
                 settle()
             best: dict[tuple, tuple] = {}

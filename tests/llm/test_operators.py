@@ -165,6 +165,24 @@ def test_decontamination(spark, empty):
     assert decontam.matches(empty, bench).count() == 0
 
 
+def _edited(item: str) -> str:
+    """A copy with every fifth word replaced: under half of its three-word runs are left, and 0.7 of a perfect score."""
+    return " ".join("edit%d" % k if k % 5 == 3 else w for k, w in enumerate(item.split()))
+
+
+def test_decontamination_of_edits_beside_many_copies(spark):
+    rng = random.Random(12)
+    copied, edited, other = prose(30, rng), prose(30, rng), prose(30, rng)
+    around = lambda passage: prose(40, rng) + " " + passage + " " + prose(40, rng)
+    texts = [around(copied) for _ in range(50)] + [around(_edited(copied)) for _ in range(3)] + [around(_edited(edited)) for _ in range(20)] + [prose(110, rng) for _ in range(20)]
+    # one common three-word run of an item is not a match
+    texts += [around(" ".join(other.split()[4:7])) for _ in range(20)]
+    bench = spark.createDataFrame([(0, copied), (1, edited), (2, other)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()}
+    assert set(got) == {(i, 0) for i in range(53)} | {(i, 1) for i in range(53, 73)}
+    assert all(got[i, 0] == 1 for i in range(50)) and all(0.7 <= s < 1 for k, s in got.items() if k[0] >= 50)
+
+
 def test_quality_statistics_and_verdicts(spark, empty):
     rng = random.Random(13)
     texts = [None, "", "a b", "x # y $\nx # y $\n\nÉa", "w1 w2 w3 w4 w5 z w1 w2 w3 w4 w5"]
