@@ -28,10 +28,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each near-duplicate group the document of the smallest id; rows without an id stay."""
-    marked = simhash.near_duplicates(docs.where("doc_id is not null"))
-    gone = marked.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """Keep one row of each near-duplicate group: that of the smallest id, rows without an id last.
+
+    Rows are told apart by (doc_id, text), not by doc_id; of rows alike in both one stays, the least of the other columns.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    marked = simhash.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"))
+    group = marked.select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("first")
+    stays = keyed.select("_key", "doc_id").join(group, "_key").groupBy("component_id").agg(first).select("first._key")
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    one = keyed.join(stays, "_key").groupBy("_key").agg(F.min(F.struct(*rest, "doc_id", "text")).alias("row"))
+    return one.select("row.*").select(COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

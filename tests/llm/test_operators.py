@@ -118,6 +118,19 @@ def test_simhash(docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_pipeline_keeps_one_row_of_each_near_duplicate_group(spark, empty):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(6)
+    t = [prose(80, rng) for _ in range(6)]
+    rows = [(1, t[0], "en", "s", 1), (7, t[0], "en", "s", 1), (None, t[0], None, "s", 1)]  # a null id beside ids
+    rows += [(2, t[1], "en", "b", 1), (2, t[1], "en", "a", 1)]  # alike in doc_id and text
+    rows += [(7, t[2], "en", "s", 1)]  # a distinct text whose namesake goes
+    rows += [(None, t[3], "en", "s", 1), (None, t[3], "en", "s", 1), (None, t[4], None, None, None), (9, t[5], "en", "s", 1)]
+    got = [tuple(r) for r in pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS).repartition(3), "").collect()]
+    assert sorted(got, key=repr) == sorted([rows[0], rows[4], rows[5], rows[6], rows[8], rows[9]], key=repr)
+    assert pipeline.near_dedup(spark, empty, "").count() == 0
+
+
 @pytest.mark.parametrize("refine", [4, 1024])
 def test_simhash_links_in_dense_postings(spark, refine):
     rng = random.Random(5)
