@@ -19,9 +19,13 @@ from .textvec import U64, mix, planes, unplanes
 Places = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # rk_id, rk_hash, start, count of starts
 
 
-def log_buckets(reducers: int) -> int:
-    """log2 of a number of buckets that leaves a reducer four or more, each small beside its memory."""
-    return max(6, (4 * reducers - 1).bit_length())
+#: Text bytes for which there is a bucket of their own, so that a bucket's size does not grow with the input.
+BUCKET_BYTES = 1 << 23
+
+
+def log_buckets(size: int, reducers: int) -> int:
+    """log2 of the number of buckets: by the input's ``size`` in bytes, and four a reducer at least."""
+    return max(6, (4 * reducers - 1).bit_length(), (size // BUCKET_BYTES).bit_length())
 
 
 def bucket_of(hashes: np.ndarray, log: int) -> np.ndarray:
@@ -110,14 +114,15 @@ def unpack_runs(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(unplanes(raw[: 4 * n], np.uint32, n), dtype=np.int64), unplanes(raw[4 * n :], np.uint32, n).astype(np.int64)
 
 
-def covered(raw: bytes | None, n: int, size: int) -> np.ndarray:
-    """Which of a document's n units are within ``size`` of a start in its packed runs."""
-    edges = np.zeros(n + 1, np.int64)
-    if raw:
-        starts, counts = unpack_runs(raw)
-        np.add.at(edges, starts, 1)
-        np.add.at(edges, np.minimum(starts + counts - 1 + size, n), -1)
-    return np.cumsum(edges[:n]) > 0
+def uncovered(raw: bytes, size: int, lo: int, hi: int) -> list[tuple[int, int]]:
+    """The spans of [lo, hi) that no ``size`` units from a start in the packed runs cover, in order."""
+    starts, counts = unpack_runs(raw)
+    stops = np.maximum.accumulate(starts + counts - 1 + size)
+    first = np.flatnonzero(np.concatenate(([True], starts[1:] > stops[:-1])))
+    begin, end = starts[first], stops[np.append(first[1:], len(starts)) - 1]
+    free = np.clip(np.stack([np.concatenate(([lo], end)), np.concatenate((begin, [hi]))]), lo, hi)
+    free = free[:, free[0] < free[1]]
+    return list(zip(free[0].tolist(), free[1].tolist()))
 
 
 def by_document(found: DataFrame) -> DataFrame:

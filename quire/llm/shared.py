@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,19 +59,27 @@ def _sweep() -> None:
             return
 
 
+def filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The shared folder as tasks see it, and its path there."""
+    return pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + folder)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_row_key(docs: DataFrame, *extra: str) -> DataFrame:
+def with_row_key(docs: DataFrame, *extra: str, least: int = 0) -> DataFrame:
     """(rk_id, rk_hash, text, ...): a key for each distinct row of (doc_id, text).
 
     Rows alike in both are alike in every result here, so they may share a key; rows that share only the
-    doc_id, and rows with none (rk_id is then the largest long), stay apart by the hash.
+    doc_id, and rows with none (rk_id is then the largest long), stay apart by the hash. Texts of fewer than ``least``
+    bytes can have no place to be found under their key, so theirs is salted: a mass of empty texts is spread.
     """
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+    short = F.coalesce(F.octet_length("text"), F.lit(0)) < least
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("rk_id"),
-        F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("rk_hash"),
+        F.when(short, F.xxhash64(key, F.rand(11))).otherwise(key).alias("rk_hash"),
         F.col("doc_id"),
         F.col("text"),
         *extra,

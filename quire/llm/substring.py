@@ -2,16 +2,23 @@
 
 Pass one hashes every window of every text at its anchoring gram (the least-hashed 12 words inside it) and adds
 the anchors to partial sketches, which are merged. A window occurs no more often than its anchor, and a sketch never
-underestimates, so a window estimated to occur once does occur once. Pass two hashes, in 96 bits, only the
-windows estimated repeated, groups them exactly and reports their places; no repeated window is lost.
+underestimates, so a window estimated to occur once does occur once. Pass two groups the windows estimated repeated by
+their words, and reports the places of those that are; no repeated window is lost and no other is taken for one.
 
-Cost: the texts are read twice and shuffled once (to meet their spans). What is shuffled besides is about 14 bytes a
-window let through. Windows met twice in one chunk are settled there, and send one key on, so a passage that
-a third of all documents hold reaches a reducer once a chunk, not once a document. Keys are spread by hash.
+What travels are *runs*: the words spanned by neighbouring windows with one anchor, so a run of k windows costs
+window + k - 1 words and not k * window. Runs are dealt out by their anchor, which equal windows share. Equal runs
+met together are settled there and send one on, so a passage that a third of all documents hold reaches a reducer once
+a task's buffer, not once a document. In a bucket, words are numbered exactly (by their bytes), windows are
+grouped by a hash of the numbers, and each group is compared number by number; a group that a hash alone has put
+together is taken apart.
+
+Cost: the texts are read twice and shuffled once (to meet their spans). Buckets are sized by the input's bytes; a task
+holds the runs of one bucket, those that are alike once, and their windows a share at a time.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,42 +30,128 @@ from pyspark.sql import types as T
 
 from . import countmin, places
 from .shared import partitions, with_row_key
-from .textvec import U64, Words, anchored_runs, chunks, planes, prefix, ranges, span_hash, unplanes, window_hash
+from .textvec import U64, Chunk, Words, anchored_runs, mix, pieces, planes, prefix, ranges, unplanes, window_hash
 
 WINDOW = 35
 GRAM = 12
 _FOUND = 4_000_000  # places held before they are sent on
-_BASE_B = 0xD6E8FEB86659FD93 | 1
+_HELD_BYTES = 1 << 25  # bytes of runs held before equal ones are settled
+#: Windows of a bucket that are grouped at a time; a bucket with more is grouped share by share of their hashes.
+_SHARE = 1 << 21
+
+
+class Runs:
+    """Runs side by side: ``text`` their words joined by a space, ``m`` their windows, ``known`` whether repeated elsewhere."""
+
+    FIELDS = ("m", "known", "ids", "hashes", "lo")
+
+    def __init__(self, text: pa.Array, m, known, ids, hashes, lo):
+        self.text, self.m, self.known, self.ids, self.hashes, self.lo = text, m, known, ids, hashes, lo
+
+    def __len__(self) -> int:
+        return len(self.m)
+
+    def take(self, i: np.ndarray) -> "Runs":
+        return Runs(self.text.take(pa.array(i)), *(getattr(self, f)[i] for f in self.FIELDS))
+
+    @staticmethod
+    def join(parts: list["Runs"]) -> "Runs":
+        return Runs(pa.concat_arrays([p.text for p in parts]), *(np.concatenate([getattr(p, f) for p in parts]) for f in Runs.FIELDS))
+
+    def settle(self) -> tuple["Runs", np.ndarray, "places.Places"]:
+        """(one run of each text, marked known if there were more; which these are; the places of the others' windows)."""
+        code = self.text.dictionary_encode().indices.to_numpy()
+        _, first = np.unique(code, return_index=True)
+        many = (np.bincount(code, minlength=len(first)) > 1)[code]
+        one = self.take(first)
+        one.known = one.known | many[first]
+        news = np.flatnonzero(many & ~self.known)
+        return one, first, (self.ids[news], self.hashes[news], self.lo[news], self.m[news].astype(np.int64))
+
+
+def _encode(r: Runs) -> bytes:
+    docs, doc = np.unique(np.stack([r.ids, r.hashes]), axis=1, return_inverse=True)
+    lens = pa.compute.binary_length(r.text).to_numpy().astype(np.uint32)
+    body = (planes(lens), planes(doc.ravel().astype(np.uint32)), planes(r.lo.astype(np.uint32)), r.m.astype(np.uint16).tobytes(), r.known.astype(np.uint8).tobytes(), np.ascontiguousarray(docs).tobytes(), b"".join(r.text.to_pylist()))
+    return np.array([len(r), docs.shape[1]], np.int64).tobytes() + zstandard.ZstdCompressor(level=3).compress(b"".join(body))
+
 
+def _decode(raw: bytes) -> Runs:
+    n, d = (int(x) for x in np.frombuffer(raw, np.int64, 2))
+    b = zstandard.ZstdDecompressor().decompress(raw[16:])
+    lens, doc, lo = (unplanes(b[4 * n * i : 4 * n * (i + 1)], np.uint32, n) for i in range(3))
+    m, known = np.frombuffer(b, np.uint16, n, 12 * n), np.frombuffer(b, np.uint8, n, 14 * n).astype(bool)
+    docs = np.frombuffer(b, np.int64, 2 * d, 15 * n).reshape(2, d)
+    return Runs(_binary(lens, b[15 * n + 16 * d :]), m, known, docs[0][doc], docs[1][doc], lo.astype(np.int64))
 
-def _runs(chunk, words: Words, window: int, gram: int):
-    values = words.hashes(chunk)
-    grams = window_hash(prefix(values), gram)
-    return values, grams, anchored_runs(grams, words.offs, window, gram)
 
+def _binary(lens: np.ndarray, data: bytes) -> pa.Array:
+    offs = np.concatenate(([0], np.cumsum(lens, dtype=np.int64)))
+    return pa.Array.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(data)])
 
-def _record(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
+def _spaced(chunk: Chunk, words: Words) -> tuple[bytes, np.ndarray]:
+    """The chunk's words, each followed by one space, and the place of each; the places end with the length."""
+    sizes = words.ends - words.starts
+    out = np.full(int(sizes.sum()) + len(sizes), 32, np.uint8)
+    out[np.arange(len(out) - len(sizes)) + np.repeat(np.arange(len(sizes)), sizes)] = chunk.buf[words.inside]
+    return out.tobytes(), np.concatenate(([0], np.cumsum(sizes + 1)))
 
-def _encode(h1, h2, flag, doc, pos, ids, hashes) -> bytes:
-    """A bucket's keys of one chunk. flag: the key is known to be repeated; then it has no place."""
-    docs, doc = np.unique(doc, return_inverse=True)
-    head = np.array([len(h1), len(docs)], np.int64)
-    body = (planes(np.diff(h1, prepend=U64(0))), planes(h2), np.packbits(flag).tobytes(), planes(doc.astype(np.uint32)), planes(pos.astype(np.uint32)), ids[docs].tobytes(), hashes[docs].tobytes())
-    return head.tobytes() + zstandard.ZstdCompressor(level=1).compress(b"".join(body))
 
+def repeated_in(runs: Runs, window: int) -> "places.Places":
+    """Places of the windows of ``runs`` that occur more than once in them, or in runs known to be repeated."""
+    code = runs.text.dictionary_encode()
+    distinct = pa.array(code.dictionary)
+    code = code.indices.to_numpy()
+    weight = np.bincount(code, 1 + runs.known.astype(np.int64), minlength=len(distinct)).astype(np.int64)
+    m = np.zeros(len(distinct), np.int64)
+    m[code] = runs.m
+    # words of the distinct runs, numbered by their bytes
+    offs = np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset : distinct.offset + len(distinct) + 1]
+    buf = np.frombuffer(distinct.buffers()[2], np.uint8)[offs[0] : offs[-1]]
+    chunk = Chunk(buf, offs - offs[0], slice(0, len(distinct)))
+    words = chunk.words()
+    number = _binary(words.ends - words.starts, buf[words.inside].tobytes()).dictionary_encode().indices.to_numpy().astype(np.int64)
+    hashes = window_hash(prefix(mix(number.astype(U64) + U64(1))), window)
+    starts, owner = ranges(words.offs[:-1], words.offs[:-1] + m)
+    repeated = np.zeros(len(starts), bool)
+    shares = -(-len(starts) // _SHARE)
+    for share in range(shares):
+        mine = np.flatnonzero(hashes[starts] % U64(shares) == share) if shares > 1 else np.arange(len(starts))
+        repeated[mine] = _grouped(number, starts[mine], hashes[starts[mine]], weight[owner[mine]], window) > 1
+    hit = np.flatnonzero(repeated)
+    if not len(hit):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    offset = starts - words.offs[:-1][owner]
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(hit) != 1) | (owner[hit[1:]] != owner[hit[:-1]]))))
+    count = np.diff(np.append(first, len(hit)))
+    run, start = owner[hit[first]], offset[hit[first]]
+    order = np.argsort(code, kind="stable")
+    which, span = ranges(np.searchsorted(code[order], run), np.searchsorted(code[order], run, side="right"))
+    rec = order[which]
+    return runs.ids[rec], runs.hashes[rec], runs.lo[rec] + start[span], count[span]
 
-def _decode(raw: bytes):
-    n, d = np.frombuffer(raw, np.int64, 2)
-    body, at, out = zstandard.ZstdDecompressor().decompress(raw[16:]), 0, []
-    for dtype, k in ((np.uint64, n), (np.uint32, n), (None, (n + 7) // 8), (np.uint32, n), (np.uint32, n), (np.int64, -d), (np.int64, -d)):
-        size = int(abs(k)) * (np.dtype(dtype).itemsize if dtype else 1)
-        part = body[at : at + size]
-        out.append(np.unpackbits(np.frombuffer(part, np.uint8), count=int(n)).astype(bool) if dtype is None else np.frombuffer(part, dtype) if k < 0 else unplanes(part, dtype, int(k)))
-        at += size
-    h1, h2, flag, doc, pos, ids, hashes = out
-    return np.cumsum(h1, dtype=np.uint64), h2, flag, pos, ids[doc] if n else ids[:0], hashes[doc] if n else hashes[:0]
+
+def _grouped(number: np.ndarray, starts: np.ndarray, hashes: np.ndarray, weight: np.ndarray, window: int) -> np.ndarray:
+    """For each window, the weight of all that have its words. Grouped by hash, compared word by word."""
+    out = np.zeros(len(starts), np.int64)
+    order = np.argsort(hashes, kind="stable")
+    edge = np.flatnonzero(np.concatenate(([True], hashes[order][1:] != hashes[order][:-1]))) if len(order) else np.zeros(0, np.int64)
+    count = np.diff(np.append(edge, len(order)))
+    out[order] = np.repeat(np.add.reduceat(weight[order], edge), count) if len(order) else 0
+    more = np.repeat(count > 1, count)
+    members, heads = order[more], np.repeat(order[edge], count)[more]
+    same = np.ones(len(members), bool)
+    for k in range(window):
+        same &= number[starts[members] + k] == number[starts[heads] + k]
+    for head in np.unique(heads[~same]).tolist():  # unlike windows under one hash
+        exact: dict[bytes, list[int]] = defaultdict(list)
+        for i in members[heads == head].tolist():
+            exact[number[starts[i] : starts[i] + window].tobytes()].append(i)
+        for group in exact.values():
+            out[group] = weight[group].sum()
+    return out
 
 
 def repeated_windows(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -67,121 +160,131 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     ``keyed`` comes from :func:`shared.with_row_key`. Each document with places has one row.
     """
     spark = keyed.sparkSession
-    if gram > window:
-        raise ValueError("the anchoring gram cannot be longer than the window")
+    if not 0 < gram <= window or window - gram > 1 << 15:
+        raise ValueError("the anchoring gram is 1 to window words long")
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    width = countmin.log_width(int(size / 6 * 2 / (window - gram + 2)))
+    reducers = partitions(spark)
+    log_buckets = places.log_buckets(size, reducers)
+    texts = keyed.select("rk_id", "rk_hash", "text")
 
-    def anchors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for chunk in chunks(batch, "text"):
-            _, grams, (anchor, _, _) = _runs(chunk, chunk.words(), window, gram)
-            yield grams[np.unique(anchor)]
+    def find(batch: pa.RecordBatch):
+        ids, hashes = batch.column("rk_id").to_numpy(), batch.column("rk_hash").to_numpy()
+        for chunk in pieces(batch, "text", window - 1, words=True):
+            words = chunk.words()
+            grams = window_hash(prefix(words.hashes(chunk)), gram)
+            anchor, lo, hi = anchored_runs(grams, words.offs, window, gram)
+            yield grams[anchor], (grams[anchor], chunk, words, lo, hi, ids, hashes)
 
-    sketch = spark.sparkContext.broadcast(countmin.build(keyed.select("text"), anchors, width))
-    reducers = partitions(spark)
-    log_buckets = places.log_buckets(reducers)
+    sketch = countmin.build(texts, find, int(size / 6 * 2 / (window - gram + 2)))
 
-    def let_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            all_ids = batch.column("rk_id").to_numpy()
-            all_hashes = batch.column("rk_hash").to_numpy()
-            for chunk in chunks(batch, "text"):
-                words = chunk.words()
-                values, grams, (anchor, lo, hi) = _runs(chunk, words, window, gram)
-                keep = sketch.value.repeated(grams[anchor])
-                pos, _ = ranges(lo[keep], hi[keep])
-                if not len(pos):
+    def runs_of(keep: np.ndarray, chunk: Chunk, words: Words, lo, hi, ids, hashes) -> Runs:
+        lo, hi = lo[keep], hi[keep]
+        raw, at = _spaced(chunk, words)
+        text = pa.array([raw[a:b] for a, b in zip(at[lo].tolist(), (at[hi + window - 1] - 1).tolist())], pa.large_binary())
+        doc = np.searchsorted(words.offs, lo, side="right") - 1
+        return Runs(text, (hi - lo).astype(np.uint16), np.zeros(len(lo), bool), ids[chunk.rows][doc], hashes[chunk.rows][doc], lo - words.offs[doc] + chunk.base)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[Runs, np.ndarray]] = []
+        n = 0
+
+        def flush():
+            r, first, settled = Runs.join([x for x, _ in held]).settle()
+            bucket = np.concatenate([b for _, b in held])[first]
+            held.clear()
+            rows = [(b, True, raw) for b, raw in places.spread(settled, log_buckets)]
+            order = np.argsort(bucket, kind="stable")
+            r, bucket = r.take(order), bucket[order]
+            edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            rows += [(int(bucket[a]), False, _encode(r.take(np.arange(a, b)))) for a, b in zip(edge, np.append(edge[1:], len(bucket)))]
+            for i in range(0, len(rows), 4096):
+                yield _out(rows[i : i + 4096])
+
+        for part in sketch.filtered(batches, find):
+            for keep, (keys, *rest) in part:
+                if not keep.any():
                     continue
-                h1 = span_hash(prefix(values), pos, pos + window)
-                h2 = (span_hash(prefix(values, _BASE_B), pos, pos + window, _BASE_B) >> U64(32)).astype(np.uint32)
-                order = np.lexsort((h2, h1))
-                h1, h2, pos = h1[order], h2[order], pos[order]
-                doc = np.searchsorted(words.offs, pos, side="right") - 1
-                pos = pos - words.offs[doc]
-                edge = np.flatnonzero(np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))))
-                count = np.diff(np.append(edge, len(h1)))
-                ids, hashes = all_ids[chunk.rows], all_hashes[chunk.rows]
-                settled = np.repeat(count > 1, count)
-                rows = []
-                if settled.any():
-                    own = doc[settled]
-                    raw = places.encode((ids[own], hashes[own], pos[settled], np.ones(len(own), np.int64)))
-                    rows.append((int(places.bucket_of(hashes[own[:1]], log_buckets)[0]), True, raw))  # any bucket will do
-                k1, k2, flag, kdoc, kpos = h1[edge], h2[edge], count > 1, doc[edge], pos[edge]
-                bucket = (k1 >> U64(64 - log_buckets)).astype(np.int64)
-                cut = np.searchsorted(bucket, np.arange((1 << log_buckets) + 1))
-                rows += [(b, False, _encode(k1[a:c], k2[a:c], flag[a:c], kdoc[a:c], kpos[a:c], ids, hashes)) for b, (a, c) in enumerate(zip(cut[:-1], cut[1:])) if c > a]
-                yield _record(rows, ["bucket", "settled", "payload"], [pa.int64(), pa.bool_(), pa.binary()])
+                r = runs_of(keep, *rest)
+                held.append((r, (mix(keys[keep]) >> U64(64 - log_buckets)).astype(np.int64)))
+                n += r.text.nbytes + 40 * len(r)
+                if n >= _HELD_BYTES:
+                    yield from flush()
+                    n = 0
+        if held:
+            yield from flush()
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        at, found = None, []
+        held: list[Runs] = []
+        at, found, size = None, [], 0
 
         def close():
-            if not held:
-                return
-            h1, h2, flag, pos, ids, hashes = (np.concatenate(x) for x in zip(*held))
+            nonlocal size
+            if held:
+                found.append(repeated_in(Runs.join(held), window))
             held.clear()
-            order = np.lexsort((h2, h1))
-            h1, h2, flag, pos, ids, hashes = (x[order] for x in (h1, h2, flag, pos, ids, hashes))
-            edge = np.flatnonzero(np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))))
-            count = np.diff(np.append(edge, len(h1)))
-            rep = np.repeat((count > 1) | np.logical_or.reduceat(flag, edge), count) & ~flag
-            found.append((ids[rep], hashes[rep], pos[rep], np.ones(int(rep.sum()), np.int64)))
+            size = 0
 
         for batch in batches:
-            for bucket, settled, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for bucket, settled, payload in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != at:
                     close()
                     at = bucket
-                    if sum(len(x[0]) for x in found) > _FOUND:
-                        yield from places.rows(places.spread(places.joined(found), log_buckets))
-                        found.clear()
+                if sum(len(x[0]) for x in found) > _FOUND:
+                    yield from places.rows(places.spread(places.joined(found), log_buckets))
+                    found.clear()
                 if settled:
                     found.append(places.decode(payload))
-                else:
-                    h1, h2, flag, pos, ids, hashes = _decode(payload)
-                    held.append((h1, h2, flag, pos.astype(np.int64), ids, hashes))
+                    continue
+                held.append(_decode(payload))
+                size += held[-1].text.nbytes
+                if size > 2 * _HELD_BYTES:  # more than a bucket should be: alike runs are settled as they come
+                    one, _, settled_here = Runs.join(held).settle()
+                    found.append(settled_here)
+                    held[:] = [one]
+                    size = one.text.nbytes // 2
         close()
         if found:
             yield from places.rows(places.spread(places.joined(found), log_buckets))
 
-    through = keyed.select("rk_id", "rk_hash", "text").mapInArrow(let_through, "bucket long, settled boolean, payload binary")
-    found = through.repartition(reducers, "bucket").sortWithinPartitions("bucket").mapInArrow(group, "bucket long, payload binary")
+    dealt = texts.mapInArrow(deal, "bucket long, settled boolean, payload binary")
+    found = dealt.repartition(reducers, "bucket").sortWithinPartitions("bucket").mapInArrow(group, "bucket long, payload binary")
     return places.by_document(found)
 
 
+def _out(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.binary()))], ["bucket", "settled", "payload"])
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text.
 
     One row for each row of ``docs``. Every word covered by a window of ``window`` words whose sequence also
     starts anywhere else, in the same document too, is removed; windows are judged on the input. Null and
     empty texts have no words and keep an empty text; a document shorter than a window keeps its words; rows that
-    repeat one another lose every window, as each starts elsewhere. Columns named in
-    ``carry`` follow unchanged, others are ignored. An empty table gives an empty result. Rows with a null doc_id are documents of their own.
+    repeat one another lose every window, as each starts elsewhere. Texts of any length go through in pieces. Columns named
+    in ``carry`` follow unchanged, others are ignored. An empty table gives an empty result. Rows with a null doc_id are
+    documents of their own.
     """
-    keyed = with_row_key(docs, *(x for x in carry if x != "text"))
+    keyed = with_row_key(docs, *(x for x in carry if x != "text"), least=2 * window - 1)
     joined = keyed.join(repeated_windows(keyed, window, gram), ["rk_id", "rk_hash"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, packed = batch.column("doc_id"), batch.column("places").to_pylist()
-            for chunk in chunks(batch, "text"):
+            packed = batch.column("places").to_pylist()
+            n_words, n_removed, kept = [0] * len(packed), [0] * len(packed), [b""] * len(packed)
+            for chunk in pieces(batch, "text", 0, words=True):
                 words = chunk.words()
-                raw = chunk.buf.tobytes()
-                n_words, n_removed, kept = [], [], []
-                for d, found in enumerate(packed[chunk.rows]):
-                    a, b = words.offs[d], words.offs[d + 1]
-                    text = raw[chunk.offs[d] : chunk.offs[d + 1]].split()
-                    n_words.append(b - a)
-                    if found:
-                        gone = places.covered(found, b - a, window)
-                        text = [text[i] for i in np.flatnonzero(~gone)]
-                        n_removed.append(int(gone.sum()))
-                    else:
-                        n_removed.append(0)
-                    kept.append(b" ".join(text))
-                yield pa.RecordBatch.from_arrays([ids[chunk.rows.start : chunk.rows.stop], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *(batch.column(x)[chunk.rows.start : chunk.rows.stop] for x in carry)], ["doc_id", "n_words", "n_removed", "kept_text", *carry])
+                raw, at = _spaced(chunk, words)
+                for row, a, b in zip(range(chunk.rows.start, chunk.rows.stop), words.offs[:-1].tolist(), words.offs[1:].tolist()):
+                    n_words[row] += b - a
+                    if not packed[row]:
+                        kept[row] += raw[at[a] : at[b]]
+                        continue
+                    left = places.uncovered(packed[row], window, chunk.base, chunk.base + b - a)
+                    kept[row] += b"".join(raw[at[a + i - chunk.base] : at[a + j - chunk.base]] for i, j in left)
+                    n_removed[row] += b - a - sum(j - i for i, j in left)
+            texts = pa.array([x[:-1] for x in kept], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), texts, *(batch.column(x) for x in carry)], ["doc_id", "n_words", "n_removed", "kept_text", *carry])
 
     rows = joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "places", *(x for x in carry if x != "text"))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), *(rows.schema[x] for x in carry)])

@@ -2,17 +2,18 @@
 
 Only the first ``depth`` bytes of a suffix matter, so suffixes are ordered no further:
 
-* Pass 0, the counting pass of the radix sort, tallies leading digits. The digit of a suffix is the least-hashed
-  ``gram`` bytes within its first ``depth``, so equal suffixes have equal digits, and neighbouring suffixes share
-  one. Digits counted once (by a merged count-min sketch, never an underestimate) end there: their suffixes
-  are singletons. Whole texts and all their suffixes are counted.
-* The deal sends what is left to buckets by digit. Suffixes that share a digit and stand next to each other travel
+* Before the sort, a counting pass and a deal. They go by a suffix's *anchor*, the least-hashed ``gram`` bytes within its
+  first ``depth`` (not its leading bytes: equal suffixes have equal anchors all the same, and neighbouring suffixes share
+  one). Anchors counted once (by a merged count-min sketch, never an underestimate) end there: their suffixes
+  are singletons. The rest go to buckets by anchor. Suffixes that share an anchor and stand next to each other travel
   as one *run*, the bytes they span, so a run of k suffixes costs depth + k - 1 bytes and not k * depth.
-* In a bucket, most-significant-digit passes of eight bytes split groups of suffixes and put singletons aside,
-  until ``depth`` bytes are used up: the groups left are exactly the repeated strings. Bytes are compared, not hashes.
+* In a bucket, most-significant-digit passes of eight bytes, from the leading bytes on, split groups of suffixes and put
+  singletons aside, until ``depth`` bytes are used up: the groups left are exactly the repeated strings. Bytes are
+  compared, not hashes. A bucket of very many suffixes is sorted a share of the first digits at a time.
 
 Equal runs of one piece of input are settled before the deal against the smallest doc_id among them, so a passage in
-a third of all documents sends one run a piece to its bucket. Equal runs in a bucket are sorted once.
+a third of all documents sends one run a piece to its bucket. Equal runs in a bucket are kept and sorted once. Buckets are
+sized by the input's bytes.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ from pyspark.sql import functions as F
 
 from . import countmin, places
 from .shared import partitions, with_row_key
-from .textvec import U64, anchored_runs, byte_values, chunks, mix, planes, prefix, ranges, unplanes, window_hash
+from .textvec import U64, anchored_runs, byte_values, chunks, mix, pieces, planes, prefix, ranges, unplanes, window_hash
 
 DEPTH = 50
 GRAM = 16
 _PENDING = 120_000  # runs held before they are dealt
 _FOUND = 4_000_000  # places held before they are sent on
+#: Suffixes of a bucket that are sorted at a time.
+_SHARE = 1 << 22
 
 
 def _first(x: np.ndarray) -> np.ndarray:
@@ -115,20 +118,18 @@ def earlier_strings(keyed: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> D
         raise ValueError("the leading digit is 1 to depth bytes long, and at most 254 shorter than the depth")
     wide = depth + (depth - gram) + 1  # a run has depth - gram + 1 suffixes at most
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    width = countmin.log_width(int(size * 2 / (depth - gram + 2)))
-
-    def runs(chunk):
-        grams = window_hash(prefix(byte_values(chunk.buf)), gram)
-        return grams, anchored_runs(grams, chunk.offs, depth, gram)
+    reducers = partitions(spark)
+    log_buckets = places.log_buckets(size, reducers)
+    texts = keyed.select("rk_id", "rk_hash", "text")
 
-    def digits(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for chunk in chunks(batch, "text"):
-            grams, (anchor, _, _) = runs(chunk)
-            yield grams[np.unique(anchor)]
+    def find(batch: pa.RecordBatch):
+        ids, hashes = batch.column("rk_id").to_numpy(), batch.column("rk_hash").to_numpy()
+        for chunk in pieces(batch, "text", depth - 1, words=False):
+            grams = window_hash(prefix(byte_values(chunk.buf)), gram)
+            anchor, lo, hi = anchored_runs(grams, chunk.offs, depth, gram)
+            yield grams[anchor], (grams[anchor], chunk, lo, hi, ids, hashes)
 
-    sketch = spark.sparkContext.broadcast(countmin.build(keyed.select("text"), digits, width))
-    reducers = partitions(spark)
-    log_buckets = places.log_buckets(reducers)
+    sketch = countmin.build(texts, find, int(size * 2 / (depth - gram + 2)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending, n = [], 0
@@ -144,17 +145,14 @@ def earlier_strings(keyed: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> D
             r, bucket = r.take(~later), bucket[~later]
             order = np.argsort(bucket, kind="stable")
             r, bucket = r.take(order), bucket[order]
-            cut = np.searchsorted(bucket, np.arange((1 << log_buckets) + 1))
-            rows += [(b, False, _encode(r.take(slice(i, j)), depth)) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:])) if j > i]
+            edge = _first(bucket)
+            rows += [(int(bucket[i]), False, _encode(r.take(slice(i, j)), depth)) for i, j in zip(edge, np.append(edge[1:], len(bucket)))]
             for i in range(0, len(rows), 4096):
                 yield _out(rows[i : i + 4096])
 
-        for batch in batches:
-            all_ids, all_hashes = batch.column("rk_id").to_numpy(), batch.column("rk_hash").to_numpy()
-            for chunk in chunks(batch, "text"):
-                grams, (anchor, lo, hi) = runs(chunk)
-                keep = sketch.value.repeated(grams[anchor])
-                anchor, lo, hi = anchor[keep], lo[keep], hi[keep]
+        for part in sketch.filtered(batches, find):
+            for keep, (keys, chunk, lo, hi, ids, hashes) in part:
+                lo, hi = lo[keep], hi[keep]
                 if not len(lo):
                     continue
                 doc = np.searchsorted(chunk.offs, lo, side="right") - 1
@@ -163,7 +161,8 @@ def earlier_strings(keyed: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> D
                 ctx = np.zeros((len(lo), wide), np.uint8)
                 ctx[:, :-1] = np.where(np.arange(wide - 1) < (m + depth - 1)[:, None], chunk.buf[np.minimum(at, len(chunk.buf) - 1)], 0)
                 ctx[:, -1] = m
-                pending.append((_Runs(ctx, m.astype(np.uint8), all_ids[chunk.rows][doc], all_hashes[chunk.rows][doc], lo - chunk.offs[doc]), (mix(grams[anchor]) >> U64(64 - log_buckets)).astype(np.int64)))
+                own = _Runs(ctx, m.astype(np.uint8), ids[chunk.rows][doc], hashes[chunk.rows][doc], lo - chunk.offs[doc] + chunk.base)
+                pending.append((own, (mix(keys[keep]) >> U64(64 - log_buckets)).astype(np.int64)))
                 n += len(lo)
                 if n >= _PENDING:
                     yield from flush()
@@ -173,54 +172,73 @@ def earlier_strings(keyed: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> D
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
-        at, found = None, []
+        at, found, n = None, [], 0
 
-        def close():
-            if not held:
-                return
+        def compact() -> tuple[_Runs, np.ndarray, np.ndarray, np.ndarray]:
+            """What is held, without the runs that an earlier document has: their suffixes are found."""
             r = _Runs.join(held)
-            held.clear()
             one, of, least = r.alike()
             later = r.ids > least[of]
             found.append((r.ids[later], r.hashes[later], r.lo[later], r.m[later].astype(np.int64)))
-            m = r.m[one].astype(np.int64)
-            offset, owner = ranges(np.zeros(len(one), np.int64), m)  # every suffix of every distinct run
-            flat = np.append(r.ctx[one].ravel(), np.zeros(8, np.uint8))
-            members, group = sort_to_depth(flat, owner * wide + offset, depth)
-            if len(members):
-                ids = least[owner[members]]
-                edge = _first(group)
-                low = np.repeat(np.minimum.reduceat(ids, edge), np.diff(np.append(edge, len(group))))
-                hit = np.sort(members[ids > low])
-                if len(hit):
-                    first = np.flatnonzero(np.concatenate(([True], (np.diff(hit) != 1) | (owner[hit[1:]] != owner[hit[:-1]]))))
-                    count = np.diff(np.append(first, len(hit)))
-                    run, start = owner[hit[first]], offset[hit[first]]
-                    # every occurrence, in its earliest document, of a run with hits
-                    here = np.flatnonzero(~later)
-                    here = here[np.argsort(of[here], kind="stable")]
-                    a, b = np.searchsorted(of[here], run), np.searchsorted(of[here], run, side="right")
-                    which, span = ranges(a, b)
-                    rec = here[which]
-                    found.append((r.ids[rec], r.hashes[rec], r.lo[rec] + start[span], count[span]))
+            return r.take(~later), r.ctx[one], of[~later], least
+
+        def close():
+            nonlocal n
+            if not held:
+                return
+            r, ctx, of, least = compact()
+            held.clear()
+            n = 0
+            m = ctx[:, -1].astype(np.int64)
+            offset, owner = ranges(np.zeros(len(m), np.int64), m)  # every suffix of every distinct run
+            flat = np.append(ctx.ravel(), np.zeros(8, np.uint8))
+            hits = []
+            shares = -(-len(owner) // _SHARE)
+            for share in range(shares):
+                mine = np.arange(len(owner))
+                if shares > 1:
+                    digits = np.ndarray((len(flat) - 7,), ">u8", flat.data, strides=(1,))
+                    mine = np.flatnonzero(mix(digits[owner * wide + offset].astype(np.uint64)) % U64(shares) == share) if depth >= 8 else mine if not share else mine[:0]
+                members, group = sort_to_depth(flat, owner[mine] * wide + offset[mine], depth)
+                if len(members):
+                    members = mine[members]
+                    ids = least[owner[members]]
+                    edge = _first(group)
+                    low = np.repeat(np.minimum.reduceat(ids, edge), np.diff(np.append(edge, len(group))))
+                    hits.append(members[ids > low])
+            hit = np.sort(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
+            if len(hit):
+                first = np.flatnonzero(np.concatenate(([True], (np.diff(hit) != 1) | (owner[hit[1:]] != owner[hit[:-1]]))))
+                count = np.diff(np.append(first, len(hit)))
+                run, start = owner[hit[first]], offset[hit[first]]
+                # every occurrence, in its earliest document, of a run with hits
+                here = np.argsort(of, kind="stable")
+                a, b = np.searchsorted(of[here], run), np.searchsorted(of[here], run, side="right")
+                which, span = ranges(a, b)
+                rec = here[which]
+                found.append((r.ids[rec], r.hashes[rec], r.lo[rec] + start[span], count[span]))
 
         for batch in batches:
             for bucket, settled, payload in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != at:
                     close()
                     at = bucket
-                    if sum(len(x[0]) for x in found) > _FOUND:
-                        yield from places.rows(places.spread(places.joined(found), log_buckets))
-                        found.clear()
+                if sum(len(x[0]) for x in found) > _FOUND:
+                    yield from places.rows(places.spread(places.joined(found), log_buckets))
+                    found.clear()
                 if settled:
                     found.append(places.decode(payload))
-                else:
-                    held.append(_decode(payload, depth, wide))
+                    continue
+                held.append(_decode(payload, depth, wide))
+                n += len(held[-1].m)
+                if n > 4 * _PENDING:  # more than a bucket should be: runs of earlier documents are settled as they come
+                    held[:] = [compact()[0]]
+                    n = len(held[0].m) // 2
         close()
         if found:
             yield from places.rows(places.spread(places.joined(found), log_buckets))
 
-    dealt = keyed.select("rk_id", "rk_hash", "text").mapInArrow(deal, "bucket long, settled boolean, payload binary")
+    dealt = texts.mapInArrow(deal, "bucket long, settled boolean, payload binary")
     found = dealt.repartition(reducers, "bucket").sortWithinPartitions("bucket").mapInArrow(finish, "bucket long, payload binary")
     return places.by_document(found)
 
@@ -231,28 +249,23 @@ def remove_earlier_strings(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM
     Every byte covered by a ``depth``-byte string that also starts in a document with a smaller doc_id is removed,
     judged on the input; matches never cross documents and overlaps count. Null and empty texts have no bytes. Texts
     shorter than ``depth`` keep theirs. A row with a null doc_id counts as having the largest; rows that share a
-    doc_id never remove from each other. An empty table gives an empty result; other columns are ignored.
+    doc_id never remove from each other. Texts of any length go through in pieces. An empty table gives an empty result; other columns are ignored.
     ``n_spans`` counts maximal removed runs. ``kept`` may split a character, so it is bytes.
     """
-    keyed = with_row_key(docs)
+    keyed = with_row_key(docs, least=depth)
     joined = keyed.join(earlier_strings(keyed, depth, gram), ["rk_id", "rk_hash"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, packed = batch.column("doc_id"), batch.column("places").to_pylist()
             for chunk in chunks(batch, "text"):
-                removed, spans, kept = [], [], []
-                for d, found in enumerate(packed[chunk.rows]):
-                    raw = chunk.buf[chunk.offs[d] : chunk.offs[d + 1]]
-                    if not found:
-                        removed.append(0)
-                        spans.append(0)
-                        kept.append(raw.tobytes())
-                        continue
-                    gone = places.covered(found, len(raw), depth)
-                    removed.append(int(gone.sum()))
-                    spans.append(int((gone & ~np.concatenate(([False], gone[:-1]))).sum()))
-                    kept.append(raw[~gone].tobytes())
+                removed, spans, kept, raw = [], [], [], chunk.buf.tobytes()
+                for found, a, b in zip(packed[chunk.rows], chunk.offs[:-1].tolist(), chunk.offs[1:].tolist()):
+                    left = places.uncovered(found, depth, 0, b - a) if found else [(0, b - a)]
+                    kept.append(b"".join(raw[a + i : a + j] for i, j in left))
+                    removed.append(b - a - len(kept[-1]))
+                    inner = len(left) - 1 if left else 0  # removed spans lie between those left, and at the ends
+                    spans.append(0 if not found else inner + (left[0][0] > 0) + (left[-1][1] < b - a) if left else 1)
                 yield pa.RecordBatch.from_arrays([ids[chunk.rows.start : chunk.rows.stop], pa.array(np.diff(chunk.offs), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "places").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

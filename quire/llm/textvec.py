@@ -1,8 +1,8 @@
 """Vectorised views of text batches: bytes, words, rolling hashes, anchors.
 
 Everything here works on one *chunk*: the UTF-8 bytes of some whole documents laid end to end, with
-document offsets. A document is never split and never shortened; a chunk holds more than
-``CHUNK_BYTES`` only when one document alone does. Nothing crosses a document edge.
+document offsets. Nothing crosses a document edge. :func:`chunks` never splits a document; :func:`pieces` deals one longer
+than ``CHUNK_BYTES`` out in pieces that overlap by all but one unit of a window, so each window is in just one piece.
 """
 
 from __future__ import annotations
@@ -70,10 +70,13 @@ def window_hash(p: np.ndarray, size: int, base: int = _BASE) -> np.ndarray:
 
 
 class Chunk:
-    """Whole documents: ``buf`` their bytes, ``offs`` their edges, ``rows`` their place in the batch."""
+    """Documents: ``buf`` their bytes, ``offs`` their edges, ``rows`` their place in the batch.
 
-    def __init__(self, buf: np.ndarray, offs: np.ndarray, rows: slice):
-        self.buf, self.offs, self.rows = buf, offs, rows
+    ``base``: the unit at which each begins, if it is a piece of a longer document, or 0.
+    """
+
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, rows: slice, base: int = 0):
+        self.buf, self.offs, self.rows, self.base = buf, offs, rows, base
         self.n = len(offs) - 1
 
     def words(self) -> "Words":
@@ -131,7 +134,56 @@ def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK_BYTES) -> Itera
         at = to
 
 
-_INDEX = 28  # bits of a sliding-minimum key that hold the place
+def pieces(batch: pa.RecordBatch, column: str, overlap: int, words: bool, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
+    """As :func:`chunks`, but a document of more than ``size`` bytes comes in pieces of about that many.
+
+    Units are words or bytes. A piece reaches ``overlap`` units into the next, so windows of ``overlap + 1`` units
+    that start before a cut are whole; ``base`` counts the units before the piece. A word is never cut.
+    """
+    for c in chunks(batch, column, size):
+        n = len(c.buf)
+        if c.n > 1 or n <= size:
+            yield c
+            continue
+        a = base = 0
+        while a < n:
+            b = min(n, a + size)
+            if words:
+                b = _next_space(c.buf, b)
+                stop = _words_on(c.buf, b, overlap)
+            else:
+                stop = min(n, b + overlap)
+            yield Chunk(c.buf[a:stop], np.array([0, stop - a]), c.rows, base)
+            base += len(Words(Chunk(c.buf[a:b], np.array([0, b - a]), c.rows)).starts) if words else b - a
+            if stop == n and (not words or b == n):
+                break
+            a = b
+
+
+def _next_space(buf: np.ndarray, at: int) -> int:
+    step = 1 << 12
+    while at < len(buf):
+        found = _SPACE[buf[at : at + step]]
+        if found.any():
+            return at + int(found.argmax())
+        at, step = at + step, 2 * step
+    return len(buf)
+
+
+def _words_on(buf: np.ndarray, at: int, count: int) -> int:
+    """The end of the ``count``-th word after ``at``, or of the text."""
+    step = 1 << 12
+    while True:
+        part = buf[at : at + step]
+        ends = Words(Chunk(part, np.array([0, len(part)]), slice(0, 1))).ends
+        if len(ends) > count:  # the last one may be cut
+            return at + int(ends[count - 1]) if count else at
+        if at + step >= len(buf):
+            return len(buf)
+        step *= 2
+
+
+_INDEX = 28  # bits of a sliding-minimum key that hold the place in a piece, whose units are far fewer
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -154,8 +206,6 @@ def anchored_runs(grams: np.ndarray, unit_offs: np.ndarray, window: int, gram: i
     units = int(unit_offs[-1]) if len(unit_offs) else 0
     if units < window:
         return none, none, none
-    if units >> _INDEX:
-        raise ValueError("a text of more than 2**28 units cannot be indexed in one piece")
     lens = np.diff(unit_offs)
     starts = np.arange(units - window + 1)
     ends = np.repeat(unit_offs[1:], lens)[: len(starts)]

@@ -16,12 +16,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, partitions, staged
+from .shared import filesystem, new_path, partitions, staged
 
 #: Fixed values of the format: the skippable frame's magic number, and that of dictionaries.
 SKIPPABLE = 0x184D2A5D
@@ -136,10 +135,6 @@ def parse(rec: bytes) -> dict:
     return fields | {"payload": payload, "payload_bytes": size}
 
 
-def _filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
-
-
 def with_originals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """``page_id, url, html, sha1, original``: the page with an equal payload and the smallest id, where another."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
@@ -161,11 +156,11 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
     the payload, and else a response. A null url leaves the target out. An empty table writes no archive.
     """
     ready = with_originals(pages, min_bytes)
-    fs, root = _filesystem(folder)
+    fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _filesystem(folder)
+        fs, root = filesystem(folder)
         attempt, number = uuid.uuid4().hex, 0
         writer, out, path, count, size = None, None, "", 0, 0
         waiting: list[bytes] = []
@@ -218,7 +213,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _filesystem(folder)
+        fs, root = filesystem(folder)
         names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "html", "archive", "number"]
         types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         for batch in batches:

@@ -8,11 +8,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, countmin, decontam, langid, quality, simhash, substring, suffix, toxicity, urls, warc
+from quire.llm import bpe, countmin, decontam, langid, quality, simhash, substring, suffix, textvec, toxicity, urls, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 _rng = random.Random(7)
@@ -86,14 +87,67 @@ def test_radix_passes():
     assert all(len({keys[m] for m in members[group == g]}) == 1 for g in np.unique(group))
 
 
-def test_sketch_never_underestimates(spark):
+@pytest.mark.parametrize("same", [True, False])
+def test_sketch_never_underestimates(spark, same):
     rng = np.random.default_rng(2)
-    keys = rng.integers(0, 5000, 8000).astype(np.uint64)
-    df = spark.createDataFrame([(int(k),) for k in keys], "k long").repartition(4)
-    sketch = countmin.build(df, lambda b: iter([b.column("k").to_numpy().astype(np.uint64)]), countmin.log_width(8000))
-    values, counts = np.unique(keys, return_counts=True)
-    said = sketch.repeated(values)
-    assert said[counts > 1].all() and said[counts == 1].mean() < 0.2
+    keys = rng.integers(0, 1 << 40, 6000).astype(np.uint64)
+    keys = np.concatenate([keys, keys[:2000]])
+    df = spark.createDataFrame([(int(k),) for k in rng.permutation(keys)], "k long").repartition(4)
+    find = lambda b: iter([(b.column("k").to_numpy().astype(np.uint64), b.column("k"))])
+    sketch = countmin.build(df, find, 8000)
+
+    def ask(batches):
+        for part in sketch.filtered(batches, find):
+            for flags, k in part:
+                yield pa.RecordBatch.from_arrays([k, pa.array(flags)], ["k", "said"])
+
+    # a table dealt otherwise than the one that was counted gets no answers, and all its keys pass
+    got = (df if same else df.repartition(3)).mapInArrow(ask, "k long, said boolean").collect()
+    twice = set(keys[:2000].tolist())
+    assert len(got) == 8000 and all(r.said for r in got if r.k in twice)
+    if same:
+        assert np.mean([r.said for r in got if r.k not in twice]) < 0.2
+    else:
+        assert all(r.said for r in got)
+
+
+def _thue_morse(n: int) -> tuple[str, str]:
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_alike_by_hash_only(spark):
+    """Words on which every polynomial hash modulo 2**64 agrees, whatever its base."""
+    rng = random.Random(21)
+    one, two = _thue_morse(10)
+    w = prose(40, rng).split()
+    rows = [(0, " ".join([*w[:20], one, *w[20:]]), "en", "s", 0), (1, " ".join([*w[:20], two, *w[20:]]), "en", "s", 0), (2, f"p q {one} r s and p q {two} r s", "en", "s", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    assert {r.doc_id: r.n_removed for r in substring.remove_repeats(df).collect()} == {0: 0, 1: 0, 2: 0}
+    assert {r.doc_id: r.n_repeat_words for r in quality.judge(df).collect()}[2] == 0
+
+
+def test_groups_compare_words_not_hashes():
+    number = np.array([1, 2, 3, 1, 2, 3, 1, 2, 4], np.int64)
+    starts, alike = np.array([0, 3, 6]), np.zeros(3, np.uint64)
+    assert substring._grouped(number, starts, alike, np.ones(3, np.int64), 3).tolist() == [2, 2, 1]
+
+
+@pytest.mark.parametrize("size", [40, 700])
+def test_pieces_hold_each_window_once(size):
+    rng = random.Random(23)
+    texts = [prose(300, rng), "", "x" * 900, " \n" + prose(5, rng), prose(200, rng) + "  ", "é" * 300]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    for words, cut in ((True, lambda t: t.encode().split()), (False, lambda t: list(t.encode()))):
+        want = Counter((i, j, tuple(u[j : j + 7])) for i, u in enumerate(map(cut, texts)) for j in range(len(u) - 6))
+        got = Counter()
+        for c in textvec.pieces(batch, "text", 6, words, size):
+            for d in range(c.n):
+                u = cut(c.buf[c.offs[d] : c.offs[d + 1]].tobytes().decode("utf-8", "surrogateescape")) if words else c.buf[c.offs[d] : c.offs[d + 1]].tolist()
+                got.update((c.rows.start + d, c.base + j, tuple(u[j : j + 7])) for j in range(len(u) - 6))
+        assert got == want
 
 
 def _fp(text: str | None) -> int:
