@@ -18,7 +18,6 @@ holds the runs of one bucket, those that are alike once, and their windows a sha
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ from pyspark.sql import types as T
 
 from . import countmin, places
 from .shared import partitions, with_row_key
-from .textvec import U64, Chunk, Words, anchored_runs, mix, pieces, planes, prefix, ranges, unplanes, window_hash
+from .textvec import U64, Chunk, Words, anchored_runs, binary, mix, numbered, pieces, planes, prefix, ranges, same_windows, unplanes, window_hash
 
 WINDOW = 35
 GRAM = 12
@@ -82,12 +81,7 @@ def _decode(raw: bytes) -> Runs:
     lens, doc, lo = (unplanes(b[4 * n * i : 4 * n * (i + 1)], np.uint32, n) for i in range(3))
     m, known = np.frombuffer(b, np.uint16, n, 12 * n), np.frombuffer(b, np.uint8, n, 14 * n).astype(bool)
     docs = np.frombuffer(b, np.int64, 2 * d, 15 * n).reshape(2, d)
-    return Runs(_binary(lens, b[15 * n + 16 * d :]), m, known, docs[0][doc], docs[1][doc], lo.astype(np.int64))
-
-
-def _binary(lens: np.ndarray, data: bytes) -> pa.Array:
-    offs = np.concatenate(([0], np.cumsum(lens, dtype=np.int64)))
-    return pa.Array.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(data)])
+    return Runs(binary(lens, b[15 * n + 16 * d :]), m, known, docs[0][doc], docs[1][doc], lo.astype(np.int64))
 
 
 def _spaced(chunk: Chunk, words: Words) -> tuple[bytes, np.ndarray]:
@@ -111,14 +105,14 @@ def repeated_in(runs: Runs, window: int) -> "places.Places":
     buf = np.frombuffer(distinct.buffers()[2], np.uint8)[offs[0] : offs[-1]]
     chunk = Chunk(buf, offs - offs[0], slice(0, len(distinct)))
     words = chunk.words()
-    number = _binary(words.ends - words.starts, buf[words.inside].tobytes()).dictionary_encode().indices.to_numpy().astype(np.int64)
+    number = numbered(chunk, words)
     hashes = window_hash(prefix(mix(number.astype(U64) + U64(1))), window)
     starts, owner = ranges(words.offs[:-1], words.offs[:-1] + m)
     repeated = np.zeros(len(starts), bool)
     shares = -(-len(starts) // _SHARE)
     for share in range(shares):
         mine = np.flatnonzero(hashes[starts] % U64(shares) == share) if shares > 1 else np.arange(len(starts))
-        repeated[mine] = _grouped(number, starts[mine], hashes[starts[mine]], weight[owner[mine]], window) > 1
+        repeated[mine] = same_windows(number, starts[mine], hashes[starts[mine]], weight[owner[mine]], window) > 1
     hit = np.flatnonzero(repeated)
     if not len(hit):
         none = np.zeros(0, np.int64)
@@ -133,27 +127,6 @@ def repeated_in(runs: Runs, window: int) -> "places.Places":
     return runs.ids[rec], runs.hashes[rec], runs.lo[rec] + start[span], count[span]
 
 
-def _grouped(number: np.ndarray, starts: np.ndarray, hashes: np.ndarray, weight: np.ndarray, window: int) -> np.ndarray:
-    """For each window, the weight of all that have its words. Grouped by hash, compared word by word."""
-    out = np.zeros(len(starts), np.int64)
-    order = np.argsort(hashes, kind="stable")
-    edge = np.flatnonzero(np.concatenate(([True], hashes[order][1:] != hashes[order][:-1]))) if len(order) else np.zeros(0, np.int64)
-    count = np.diff(np.append(edge, len(order)))
-    out[order] = np.repeat(np.add.reduceat(weight[order], edge), count) if len(order) else 0
-    more = np.repeat(count > 1, count)
-    members, heads = order[more], np.repeat(order[edge], count)[more]
-    same = np.ones(len(members), bool)
-    for k in range(window):
-        same &= number[starts[members] + k] == number[starts[heads] + k]
-    for head in np.unique(heads[~same]).tolist():  # unlike windows under one hash
-        exact: dict[bytes, list[int]] = defaultdict(list)
-        for i in members[heads == head].tolist():
-            exact[number[starts[i] : starts[i] + window].tobytes()].append(i)
-        for group in exact.values():
-            out[group] = weight[group].sum()
-    return out
-
-
 def repeated_windows(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(rk_id, rk_hash, places): the starts, in words, of the windows whose word sequence starts elsewhere too.
 

@@ -7,6 +7,7 @@ than ``CHUNK_BYTES`` out in pieces that overlap by all but one unit of a window,
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -245,3 +246,37 @@ def planes(x: np.ndarray) -> bytes:
 def unplanes(raw: bytes, dtype, n: int) -> np.ndarray:
     size = np.dtype(dtype).itemsize
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(dtype).reshape(n)
+
+
+def binary(lens: np.ndarray, data: bytes) -> pa.Array:
+    """Byte strings of these lengths, laid end to end in ``data``."""
+    offs = np.concatenate(([0], np.cumsum(lens, dtype=np.int64)))
+    return pa.Array.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(data)])
+
+
+def numbered(chunk: Chunk, words: Words) -> np.ndarray:
+    """A number for each word of the chunk, equal for words of equal bytes only."""
+    return binary(words.ends - words.starts, chunk.buf[words.inside].tobytes()).dictionary_encode().indices.to_numpy()
+
+
+def same_windows(number: np.ndarray, starts: np.ndarray, hashes: np.ndarray, weight: np.ndarray, window: int, owner: np.ndarray | None = None) -> np.ndarray:
+    """For each window, the weight of all that have its numbers (and its owner): grouped by hash, compared one by one."""
+    out = np.zeros(len(starts), np.int64)
+    if not len(starts):
+        return out
+    order = np.argsort(hashes, kind="stable")
+    edge = np.flatnonzero(np.concatenate(([True], hashes[order][1:] != hashes[order][:-1])))
+    count = np.diff(np.append(edge, len(order)))
+    out[order] = np.repeat(np.add.reduceat(weight[order], edge), count)
+    more = np.repeat(count > 1, count)
+    members, heads = order[more], np.repeat(order[edge], count)[more]
+    same = owner[members] == owner[heads] if owner is not None else np.ones(len(members), bool)
+    for k in range(window):
+        same &= number[starts[members] + k] == number[starts[heads] + k]
+    for head in np.unique(heads[~same]).tolist():  # unlike windows under one hash
+        exact: dict[tuple, list[int]] = defaultdict(list)
+        for i in members[heads == head].tolist():
+            exact[int(owner[i]) if owner is not None else 0, number[starts[i] : starts[i] + window].tobytes()].append(i)
+        for group in exact.values():
+            out[group] = weight[group].sum()
+    return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 from collections import Counter
 
@@ -132,7 +133,8 @@ def test_words_alike_by_hash_only(spark):
 def test_groups_compare_words_not_hashes():
     number = np.array([1, 2, 3, 1, 2, 3, 1, 2, 4], np.int64)
     starts, alike = np.array([0, 3, 6]), np.zeros(3, np.uint64)
-    assert substring._grouped(number, starts, alike, np.ones(3, np.int64), 3).tolist() == [2, 2, 1]
+    assert textvec.same_windows(number, starts, alike, np.ones(3, np.int64), 3).tolist() == [2, 2, 1]
+    assert textvec.same_windows(number, starts, alike, np.ones(3, np.int64), 3, np.array([0, 1, 1])).tolist() == [1, 1, 1]
 
 
 @pytest.mark.parametrize("size", [40, 700])
@@ -263,6 +265,57 @@ def test_quality_statistics_and_verdicts(spark, empty):
     assert quality.judge(empty).count() == 0
 
 
+def _plain_mcd(x: np.ndarray, h: int, rng) -> float:
+    """Least log determinant of the regularised covariance over subsets of h rows, from many random starts."""
+    ridge, best = np.diag(np.square(quality.FLOORS)), np.inf
+    for _ in range(150):
+        rows, last = rng.choice(len(x), 7, replace=False), np.inf
+        while True:
+            mu, cov = x[rows].mean(axis=0), np.cov(x[rows].T, bias=True) + ridge
+            if (now := np.linalg.slogdet(cov)[1]) >= last - 1e-12 and len(rows) == h:
+                break
+            last = now if len(rows) == h else np.inf
+            d = np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(cov), x - mu)
+            rows = np.argsort(d, kind="stable")[:h]
+        best = min(best, last)
+    return best
+
+
+def test_estimate_is_the_least_determinant(spark):
+    rng = np.random.default_rng(5)
+    good = rng.normal(size=(320, 6)) @ np.diag([1.0, 0.2, 0.1, 0.1, 0.2, 0.1]) + 3
+    bad = rng.normal(size=(60, 6)) * 0.05 + np.array([5, 3, 4, 3, 5, 3])
+    x = np.abs(np.concatenate([good, bad]))
+    fixed = np.round(x * quality.ONE).astype(int)
+    schema = "grp string, " + ", ".join(f"{c} long" for c in quality._X)
+    found = []
+    for parts in (1, 5):
+        df = spark.createDataFrame([("g", *map(int, r)) for r in rng.permutation(fixed)], schema).repartition(parts)
+        for local_rows in (1000, 100):  # in one task, and by all
+            (r,) = quality.estimates(df, local_rows=local_rows).collect()
+            found.append((r.mu, r.inv, r.logdet, r.cut))
+    assert all(f == found[0] for f in found)  # whatever the rows' order and partitions
+    assert found[0][2] <= _plain_mcd(fixed / quality.ONE, math.ceil(quality.SUBSET * len(x)), rng) + 0.02
+    mu, inv = np.array(found[0][0]), np.array(found[0][1]).reshape(6, 6)
+    d = np.einsum("ij,jk,ik->i", x - mu, inv, x - mu)
+    assert d[320:].min() > np.quantile(d[:320], 0.99)
+
+
+def test_quality_defined_cases(spark):
+    rng = random.Random(29)
+    rows = [(i, prose(rng.randint(60, 200), rng), "en", "a" if i % 3 else None) for i in range(150)]
+    rows += [(1000 + i, prose(80, rng), None, "b") for i in range(5)]  # a group too small for an estimate of its own
+    rows += [(None, None, None, None), (None, prose(70, rng), "", ""), rows[3], rows[3]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for name in ("grp", "n", "cut", "mu", "kept", "distance", "x0", "start", "n_words"):
+        df = df.withColumn(name, F.lit("clash"))
+    got = sorted((tuple(r) for r in quality.judge(df.repartition(3)).collect()), key=repr)
+    assert got == sorted((tuple(r) for r in quality.judge(df.repartition(1)).collect()), key=repr)
+    assert len(got) == len(rows) and sum(r[0] == 3 for r in got) == 3 and len({r for r in got if r[0] == 3}) == 1
+    few = quality.judge(spark.createDataFrame(rows[:20], "doc_id long, text string, lang string, source string")).collect()
+    assert all(r.kept and r.distance is None for r in few)  # no group is large enough
+
+
 def test_language_mixture(spark, empty):
     en, fr = "the house and the garden with this water ", "la maison et le jardin avec cette eau "
     rows = [(i, (en if i % 2 else fr) * 6, "en" if i % 2 else "fr") for i in range(40)]
