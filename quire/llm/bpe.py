@@ -7,7 +7,8 @@ later in the list, and its y starts with the former x, which now stands behind t
 back by at most the largest sum of the x's over such chains of rules: tokens that end that far before the
 cut are final. The sum is found in one pass over the list.
 
-Words recur, so the transducer's output for short pieces is remembered, within a bound.
+Every piece goes through the transducer. Words recur, so its output for pieces of up to REMEMBERED characters is kept, in two
+generations of a bounded number each (so of bounded bytes): when the younger is full it becomes the older.
 
 The transducer keeps the bytes after its last emitted token. Whenever these exceed the lookahead, it tokenises them,
 emits the tokens that are final and keeps the rest. It finds tokens left to right, longest first, going back where a
@@ -23,6 +24,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -36,7 +38,8 @@ _OPEN = {"L": regex.compile(r"\p{L}*"), "N": regex.compile(r"\p{N}*"), "S": rege
 
 SLICE = 1 << 16  # characters read at a time
 _LONG = 1 << 13  # characters after which an unfinished piece goes to the transducer as it comes
-_MEMO = 300_000  # pieces, and units, remembered
+#: Characters of a piece, or unit, whose ids are remembered, and how many are in a generation: 40 MB a generation at most.
+REMEMBERED, _MEMO = 48, 100_000
 #: White space other than space and line feed: fixed values. Python's own extra separators are in it, for caution.
 _OTHER = regex.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _NEVER = 1 << 40
@@ -177,20 +180,37 @@ class _Run:
         return self.merges.tokens(self.held, self.last) if self.held else []
 
 
-class _Memo(dict):
-    """Ids of pieces, each as its decimal digits and a comma."""
+class _Remembered(dict):
+    """Ids by text, each id as its decimal digits and a comma; of the longer texts nothing is kept."""
+
+    def __init__(self):
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, text: str) -> bytes:
+        out = self.older.get(text)
+        if out is None:
+            out = self.made(text)
+        if len(text) <= REMEMBERED:
+            if len(self) >= _MEMO:
+                self.older = dict(self)
+                self.clear()
+            self[text] = out
+        return out
+
+
+class _Memo(_Remembered):
+    """Ids of pieces, by the transducer."""
 
     def __init__(self, merges: Merges):
+        super().__init__()
         self.merges = merges
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= _MEMO:
-            self.clear()
-        out = self[piece] = _digits(self.merges.tokens(piece.encode("utf-8", "surrogatepass")))
-        return out
+    def made(self, piece: str) -> bytes:
+        run = _Run(self.merges)
+        return _digits(run.feed(piece.encode("utf-8", "surrogatepass")) + run.finish())
 
 
-class _Units(dict):
+class _Units(_Remembered):
     """Ids of what a space and the characters up to the next space give, by these characters.
 
     A space after anything but white space always begins a piece, so such units tokenise alone. They are looked up
@@ -198,13 +218,11 @@ class _Units(dict):
     """
 
     def __init__(self, memo: _Memo):
+        super().__init__()
         self.memo = memo
 
-    def __missing__(self, unit: str) -> bytes:
-        if len(self) >= _MEMO:
-            self.clear()
-        out = self[unit] = b"".join(map(self.memo.__getitem__, _PIECE.findall(" " + unit)))
-        return out
+    def made(self, unit: str) -> bytes:
+        return b"".join(map(self.memo.__getitem__, _PIECE.findall(" " + unit)))
 
 
 def _digits(ids: list[int]) -> bytes:
@@ -379,11 +397,11 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of the ids and of the text decoded from them.
+def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (, ids): digests of the ids and of the text decoded from them.
 
-    Texts go through slice by slice, so only digests and the transducer's state are held. Defined cases as in
-    :func:`encode`: null is the empty text.
+    Texts go through slice by slice, so only digests and the transducer's state are held; ``with_ids`` hands the ids on
+    too. Defined cases as in :func:`encode`: null is the empty text.
     """
     source = _broadcast(docs, path)
 
@@ -391,9 +409,9 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         merges, memo, units = _loaded(source.value)
         dec = Decoder(merges)
         for batch in batches:
-            counts, ids_sha, text_sha = [], [], []
+            counts, ids_sha, text_sha, ids = [], [], [], []
             for text in batch.column("text").to_pylist():
-                enc, n, a, b, comma = Encoder(merges, memo, units), 0, hashlib.sha256(), hashlib.sha256(), False
+                enc, n, a, b, comma, parts = Encoder(merges, memo, units), 0, hashlib.sha256(), hashlib.sha256(), False, []
                 dec.reset()
                 for part in (*_slices(text or ""), None):
                     got = enc.finish() if part is None else enc.feed(part)
@@ -402,10 +420,17 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                         a.update(b"," + got[:-1] if comma else got[:-1])
                         comma = True
                         b.update(dec.feed(got).encode())
+                        if with_ids:
+                            parts.append(np.fromstring(got[:-1].decode(), np.int32, sep=","))
                 b.update(dec.finish().encode())
                 counts.append(n)
                 ids_sha.append(a.hexdigest())
                 text_sha.append(b.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                ids.append(np.concatenate(parts) if parts else [])
+            columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
+            if with_ids:
+                columns["ids"] = pa.array(ids, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_pydict(columns)
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

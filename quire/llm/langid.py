@@ -18,15 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textvec import U64, chunks, mix, ranges
+from .textvec import CHUNK_BYTES, U64, chunks, mix, ranges
 
 LOG_BUCKETS = 15
 GRAM = 4
 BLOCK_WORDS = 4
 PENALTY = 2.0
 ROUNDS = 12
-#: Languages beyond which a model is refused: what is broadcast is bounded by this times 2**LOG_BUCKETS.
-MAX_LANGUAGES = 512
+#: log2 of the cells of a model, languages times buckets: 64 MB is the most that is broadcast. Beyond 512 languages
+#: the n-grams of each share ever fewer buckets, but no language is left out.
+LOG_CELLS = 24
 _LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
@@ -48,7 +49,12 @@ def _lower(buf: np.ndarray) -> np.ndarray:
     return b
 
 
-def _grams(chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def log_buckets(languages: int) -> int:
+    """log2 of the buckets that a model of so many languages has."""
+    return max(1, min(LOG_BUCKETS, LOG_CELLS - max(1, languages - 1).bit_length()))
+
+
+def _grams(chunk, log: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket of the gram that starts at each place, place of each word's start, words of each document).
 
     Grams are of lower-cased letters, one to GRAM bytes after a word's edge, or GRAM bytes inside it.
@@ -73,11 +79,13 @@ def _grams(chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         part[: n - k] = b[k:]
         key = key * U64(257) + np.where(open_, part + U64(1), U64(0))
     key = key * U64(2) + start
-    return (mix(key + U64(1)) >> U64(64 - LOG_BUCKETS)).astype(np.int64), letter, start
+    return (mix(key + U64(1)) >> U64(64 - log)).astype(np.int64), letter, start
 
 
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages, and the log of each one's gram distribution, from every row of (text, lang) with a language."""
+    rows = docs.where("lang is not null and text is not null").select("text", F.col("lang").cast("string").alias("lang"))
+    log = log_buckets(rows.agg(F.count_distinct("lang")).first()[0])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -86,24 +94,21 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             for c in chunks(batch, "text"):
                 if not len(c.buf):
                     continue
-                bucket, letter, _ = _grams(c)
+                bucket, letter, _ = _grams(c, log)
                 names, of = np.unique(langs[c.rows].astype(str), return_inverse=True)
                 row = np.repeat(of, np.diff(c.offs))
-                got = np.bincount(row[letter] << LOG_BUCKETS | bucket[letter], minlength=len(names) << LOG_BUCKETS).reshape(len(names), -1)
+                got = np.bincount(row[letter] << log | bucket[letter], minlength=len(names) << log).reshape(len(names), -1)
                 for i, name in enumerate(names):
                     total[name] = total.get(name, 0) + got[i]
-                if len(total) > MAX_LANGUAGES:
-                    raise ValueError(f"more than {MAX_LANGUAGES} languages")
         for name, t in total.items():
             at = np.flatnonzero(t)
             for a in range(0, len(at), 1 << 14):
                 part = at[a : a + (1 << 14)]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(part, pa.int64()), pa.array(t[part], pa.int64())], ["lang", "bucket", "n"])
 
-    rows = docs.where("lang is not null and text is not null").select("text", "lang").mapInArrow(count, "lang string, bucket long, n long")
-    table = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # languages times buckets at most
+    table = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # 2**LOG_CELLS rows at most
     names = sorted(table["lang"].unique())
-    counts = np.zeros((len(names), 1 << LOG_BUCKETS))
+    counts = np.zeros((len(names), 1 << log))
     index = {x: i for i, x in enumerate(names)}
     counts[table["lang"].map(index).to_numpy(int), table["bucket"].to_numpy(int)] = table["n"].to_numpy(float)
     shared = (counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * counts.shape[1]) if len(names) else counts
@@ -132,7 +137,7 @@ def infer(like: np.ndarray, first: np.ndarray, count: np.ndarray, penalty: float
     while len(active) and like.shape[1] > 1:
         mine = pi[active].copy()
         mine[allowed[active] == 0] = np.inf
-        weakest = mine.argmin(axis=1)
+        weakest = mine.shape[1] - 1 - mine[:, ::-1].argmin(axis=1)  # of equals the last goes, so that the first by name stays
         able = allowed[active].sum(axis=1) > 1
         active, weakest = active[able], weakest[able]
         if not len(active):
@@ -159,13 +164,15 @@ def identify(docs: DataFrame, languages: list[str], logs: np.ndarray, penalty: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table = model.value
+        log = int(table.shape[0]).bit_length() - 1
+        size = max(1 << 12, CHUNK_BYTES * 16 // max(16, len(names)))  # blocks times languages are held at a time
         for batch in batches:
             preds, scores, mixes = [], [], []
-            for c in chunks(batch, "text"):
+            for c in chunks(batch, "text", size):
                 n = c.n
                 share = np.zeros((n, len(names)))
                 if len(c.buf) and names:
-                    bucket, letter, start = _grams(c)
+                    bucket, letter, start = _grams(c, log)
                     doc = np.repeat(np.arange(n), np.diff(c.offs))
                     word = np.cumsum(start)  # 1-based, over the chunk
                     base = np.concatenate(([0], word))[c.offs[:-1]]

@@ -87,7 +87,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     labels = _table(spark, sf_dir, "labels")
     outcomes = labels.select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
-    return filter_urls(_table(spark, sf_dir, "pages"), outcomes).drop("bad_rate_bound")
+    return filter_urls(_table(spark, sf_dir, "pages"), outcomes).drop("chance_clean")
 
 
 QUERIES = {

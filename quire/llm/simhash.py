@@ -25,42 +25,49 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .shared import staged
-from .textvec import chunks
+from .textvec import pieces
 
 SHINGLE = 3
 DISTANCE = 3
 SEED = 42
 REFINE = 1024
+#: Texts of one fingerprint beyond which it is dealt out under SALTS keys. At most a HOT-th as many as there are texts are.
+HOT, SALTS = 1 << 20, 64
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, fp): the fingerprint, as a signed long, of every row's whole text; no words: zero."""
 
-    def one(raw: bytes) -> int:
+    def bits(raw: bytes, whole: bool) -> tuple[np.ndarray, int]:
+        """(how many shingles have each bit, shingles) of a text, or of a piece of a longer one."""
+        ones = np.zeros(64, np.int64)
         words = raw.lower().split()
         n = len(words)
-        if not n:
-            return 0
+        if not n or n < shingle and not whole:
+            return ones, 0
+        text = b" ".join(words)
         if n < shingle:
-            h = np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], np.uint64)
+            h = np.array([xxhash.xxh64_intdigest(text, seed)], np.uint64)
         else:
-            text = b" ".join(words)
             ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
             starts = np.concatenate(([0], ends[:-1] + 1))
             digest = xxhash.xxh64_intdigest
             h = np.fromiter((digest(text[a:b], seed) for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist())), np.uint64, n - shingle + 1)
-        ones = np.zeros(64, np.int64)
         for at in range(0, len(h), 1 << 16):
             part = np.ascontiguousarray(h[at : at + (1 << 16)])
             ones += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-        return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
+        return ones, len(h)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = []
-            for c in chunks(batch, "text"):
+            ones, total = np.zeros((batch.num_rows, 64), np.int64), np.zeros(batch.num_rows, np.int64)
+            for c in pieces(batch, "text", shingle - 1, words=True):
                 raw = c.buf.tobytes()
-                fps += [one(raw[a:b]) for a, b in zip(c.offs[:-1].tolist(), c.offs[1:].tolist())]
+                for row, a, b in zip(range(c.rows.start, c.rows.stop), c.offs[:-1].tolist(), c.offs[1:].tolist()):
+                    own, n = bits(raw[a:b], c.base == 0)
+                    ones[row] += own
+                    total[row] += n
+            fps = np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view(np.int64).ravel() if batch.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
@@ -135,20 +142,26 @@ def _links(distance: int, wide: int):
         return pa.RecordBatch.from_arrays([pa.array(fp[moved].view(np.int64)), pa.array(fp[f.label[moved]].view(np.int64))], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[list[np.ndarray]] = []  # of the last posting, which may go on in the next batch
+
+        def close():
+            if held:
+                posting, key, fp = (np.concatenate(x) for x in zip(*held))
+                held.clear()
+                yield forest(posting, key, fp.view(np.uint64))
+
         for batch in batches:
             cols = [batch.column(i).to_numpy() for i in range(3)]
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols)]
             if not len(cols[0]):
                 continue
-            open_ = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
-            cut = int(np.argmax(open_))  # the last posting may go on in the next batch
+            if held and (held[-1][0][-1], held[-1][1][-1]) != (cols[0][0], cols[1][0]):
+                yield from close()
+            cut = int(np.argmax((cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])))
             if cut:
-                yield forest(cols[0][:cut], cols[1][:cut], cols[2][:cut].view(np.uint64))
-            held = [x[cut:] for x in cols]
-        if held is not None:
-            yield forest(held[0], held[1], held[2].view(np.uint64))
+                held.append([x[:cut] for x in cols])
+                yield from close()
+            held.append([x[cut:] for x in cols])
+        yield from close()
 
     return run
 
@@ -195,20 +208,25 @@ def components(edges: DataFrame) -> DataFrame:
     return members if members is not None else edges.select(F.col("u").alias("vertex"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED, hot: int = HOT) -> DataFrame:
     """doc_id, fp, component_id: one row for each row of ``docs``.
 
     component_id is the smallest doc_id reachable by links of at most ``distance`` differing bits, the row's own
     included. Null, empty and wordless texts have fingerprint zero and link like any other; texts of fewer words than
     ``shingle`` hash their whole word sequence; repeated rows share a component; a null doc_id never names a component
-    (it is null only if no member has an id). An empty table gives an empty result; other columns are ignored.
+    (it is null only if no member has an id). Texts of any length go through in pieces. An empty table gives an empty result; other columns are ignored.
     """
     marked = staged(fingerprints(docs, shingle, seed), "fingerprints")
-    distinct = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct")
     roots = components(links(distinct.select("fp"), distance))
     joined = distinct.join(roots, distinct.fp == roots.vertex, "left").select("fp", "least", "root")
     linked = joined.where("root is not null")
     low = linked.groupBy("root").agg(F.min("least").alias("low"))
     named = linked.join(low, "root").select("fp", F.col("low").alias("component_id"))
     named = named.unionByName(joined.where("root is null").select("fp", F.col("least").alias("component_id")))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    # a fingerprint that a third of the texts have is dealt out under so many salts; its name goes to each
+    salts = F.explode(F.sequence(F.lit(0), F.when(F.col("copies") > hot, F.lit(SALTS - 1)).otherwise(0))).alias("salt")
+    named = named.join(distinct.select("fp", "copies"), "fp").select("fp", "component_id", "copies", salts)
+    many = distinct.where(F.col("copies") > hot).select("fp", F.lit(True).alias("hot"))
+    salted = marked.join(F.broadcast(many), "fp", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", F.rand(5)), F.lit(SALTS)).cast("int")).otherwise(0))
+    return salted.join(named, ["fp", "salt"]).select("doc_id", "fp", "component_id")

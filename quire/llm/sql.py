@@ -33,18 +33,28 @@ def _level(name: str, keys: str, above: str) -> str:
 {name} AS (SELECT {keys}, k + m * t AS a, n - k + (1 - m) * t AS b FROM {name}_m, {name}_t)"""
 
 
-_BOUND = "round(a / (a + b) - 1.6448536269514722 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 9)"
-URL_FILTERS = f"""WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+_SECOND = "(ac|co|com|edu|go|gob|gov|govt|ltd|ne|net|nom|or|org|plc|sch)"
+_ADDRESS = "regexp_matches(bare, '^(\\[.*\\]|[0-9]+(\\.[0-9]+){3})$')"
+_DOMAIN = f"CASE WHEN {_ADDRESS} THEN bare WHEN regexp_matches(bare, '(^|\\.){_SECOND}\\.[a-z][a-z]$') THEN regexp_extract(bare, '([^.]*\\.)?[^.]*\\.[^.]*$') ELSE regexp_extract(bare, '([^.]*\\.)?[^.]*$') END"
+_SUFFIX = f"CASE WHEN {_ADDRESS} THEN '(address)' WHEN regexp_matches(bare, '(^|\\.){_SECOND}\\.[a-z][a-z]$') THEN regexp_extract(bare, '[^.]*\\.[^.]*$') ELSE regexp_extract(bare, '[^.]*$') END"
+URL_FILTERS = f"""WITH RECURSIVE u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*(/[^?#]*)', 1) AS path FROM u),
-known AS (SELECT host, CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END AS bad FROM labels JOIN p ON doc_id = page_id WHERE toxic = 1 OR quality = 0 OR (toxic IS NOT NULL AND quality IS NOT NULL)),
-hosts AS (SELECT host, regexp_extract(host, '([^.]*\\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix, count(*) AS n, sum(bad) AS k FROM known GROUP BY host),
+pb AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\\.+$', '') AS bare FROM p),
+known AS (SELECT bare, CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END AS bad FROM labels JOIN pb ON doc_id = page_id WHERE toxic = 1 OR quality = 0 OR (toxic IS NOT NULL AND quality IS NOT NULL)),
+hosts AS (SELECT bare AS host, {_DOMAIN} AS domain, {_SUFFIX} AS suffix, count(*) AS n, sum(bad) AS k FROM known GROUP BY bare),
 corpus AS (SELECT (coalesce(sum(k), 0) + 1)::DOUBLE AS a, (coalesce(sum(n - k), 0) + 1)::DOUBLE AS b FROM hosts),
 {_level('sfx', 'suffix', ', (SELECT a / (a + b) AS m FROM corpus)')},
 {_level('dom', 'domain, suffix', 'JOIN (SELECT suffix AS ks, a / (a + b) AS m FROM sfx) ON ks = suffix')},
 {_level('hst', 'host, domain', 'JOIN (SELECT domain AS ks, a / (a + b) AS m FROM dom) ON ks = domain')},
-h AS (SELECT DISTINCT host, regexp_extract(host, '([^.]*\\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix FROM p),
-j AS (SELECT h.host, coalesce(x.q, y.q, z.q, c.q) AS q FROM h LEFT JOIN (SELECT host, {_BOUND} AS q FROM hst) x ON h.host = x.host LEFT JOIN (SELECT domain, {_BOUND} AS q FROM dom) y ON h.domain = y.domain
-  LEFT JOIN (SELECT suffix, {_BOUND} AS q FROM sfx) z ON h.suffix = z.suffix, (SELECT {_BOUND} AS q FROM corpus) c),
-f AS (SELECT p.*, q, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1' WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
-  WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/' WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM p JOIN j USING (host))
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN q > 0.25 THEN 'block' ELSE 'allow' END AS verdict FROM f"""
+h AS (SELECT DISTINCT bare, {_DOMAIN} AS domain, {_SUFFIX} AS suffix FROM pb),
+ab AS (SELECT h.bare, coalesce(x.a, y.a, z.a, c.a) AS a, coalesce(x.b, y.b, z.b, c.b) AS b FROM h LEFT JOIN hst x ON h.bare = x.host LEFT JOIN dom y ON h.domain = y.domain LEFT JOIN sfx z ON h.suffix = z.suffix, corpus c),
+s AS (SELECT DISTINCT a, b, 0.25 < (a + 1) / (a + b + 2) AS lft FROM ab),
+o AS (SELECT a, b, lft, CASE WHEN lft THEN a ELSE b END AS p, CASE WHEN lft THEN b ELSE a END AS q, CASE WHEN lft THEN 0.25::DOUBLE ELSE 0.75::DOUBLE END AS x FROM s),
+cf AS (SELECT a, b, p, q, x, 0 AS m, 1 / (1 - (p + q) * x / (p + 1)) AS h, 1.0::DOUBLE AS c, 1 / (1 - (p + q) * x / (p + 1)) AS d FROM o
+  UNION ALL SELECT a, b, p, q, x, m + 1, h * d1 * c1 * d2 * (1 + f2 / c1), 1 + f2 / c1, d2 FROM (SELECT *, 1 / (1 + f2 * d1) AS d2 FROM (SELECT *, 1 / (1 + f1 * d) AS d1, 1 + f1 / c AS c1 FROM
+    (SELECT *, (m + 1) * (q - m - 1) * x / ((p + 2 * m + 1) * (p + 2 * m + 2)) AS f1, -(p + m + 1) * (p + q + m + 1) * x / ((p + 2 * m + 2) * (p + 2 * m + 3)) AS f2 FROM cf WHERE m < 200)))),
+bt AS (SELECT o.a, o.b, exp(lgamma(o.a + o.b) - lgamma(o.a) - lgamma(o.b) + o.a * ln(0.25) + o.b * ln(0.75)) * cf.h / o.p AS part, lft FROM o JOIN cf ON o.a = cf.a AND o.b = cf.b AND cf.m = 200),
+w AS (SELECT a, b, CASE WHEN lft THEN part ELSE 1 - part END AS chance FROM bt),
+f AS (SELECT pb.*, chance, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1' WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+  WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/' WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM pb JOIN ab USING (bare) JOIN w ON w.a = ab.a AND w.b = ab.b)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN chance <= 0.05 THEN 'block' ELSE 'allow' END AS verdict FROM f"""

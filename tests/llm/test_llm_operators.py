@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+import os
 import random
 from collections import Counter
 
@@ -161,6 +162,7 @@ def _fp(text: str | None) -> int:
 
 def test_simhash(docs, rows, empty):
     got = simhash.near_duplicates(docs).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, simhash.near_duplicates(docs, hot=2).collect()), key=repr)  # salted
     prints = [(r[0], _fp(r[1])) for r in rows]
     group = list(range(len(prints)))
     for i in range(len(prints)):
@@ -174,19 +176,6 @@ def test_simhash(docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_pipeline_keeps_one_row_of_each_near_duplicate_group(spark, empty):
-    pipeline = pytest.importorskip("corpus_pipeline")
-    rng = random.Random(6)
-    t = [prose(80, rng) for _ in range(6)]
-    rows = [(1, t[0], "en", "s", 1), (7, t[0], "en", "s", 1), (None, t[0], None, "s", 1)]  # a null id beside ids
-    rows += [(2, t[1], "en", "b", 1), (2, t[1], "en", "a", 1)]  # alike in doc_id and text
-    rows += [(7, t[2], "en", "s", 1)]  # a distinct text whose namesake goes
-    rows += [(None, t[3], "en", "s", 1), (None, t[3], "en", "s", 1), (None, t[4], None, None, None), (9, t[5], "en", "s", 1)]
-    got = [tuple(r) for r in pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS).repartition(3), "").collect()]
-    assert sorted(got, key=repr) == sorted([rows[0], rows[4], rows[5], rows[6], rows[8], rows[9]], key=repr)
-    assert pipeline.near_dedup(spark, empty, "").count() == 0
-
-
 @pytest.mark.parametrize("refine", [4, 1024])
 def test_simhash_links_in_dense_postings(spark, refine):
     rng = random.Random(5)
@@ -206,6 +195,28 @@ def test_simhash_links_in_dense_postings(spark, refine):
     assert same(mine) == same(group)
 
 
+def test_very_long_texts(spark):
+    """Texts of several pieces give what brute force gives on the whole."""
+    rng = random.Random(41)
+    shared = prose(80, rng)
+    long = " ".join(prose(1000, rng) for _ in range(230)) + " " + shared + " " + prose(1000, rng)  # over 1 MB
+    rows = [(0, shared, "en"), (1, long, "en"), (2, "z" * 1_300_000, "en"), (3, long[:1_100_000] + "!", None), (4, shared, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("s"))
+    words = {i: t.encode().split() for i, t, _ in rows}
+    seen = Counter(tuple(w[i : i + 35]) for w in words.values() for i in range(len(w) - 34))
+    want = {i: len({j for a in range(len(w) - 34) if seen[tuple(w[a : a + 35])] > 1 for j in range(a, a + 35)}) for i, w in words.items()}
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in substring.remove_repeats(df).collect()} == {i: (len(w), want[i]) for i, w in words.items()}
+    got = {r.doc_id: r for r in suffix.remove_earlier_strings(df).collect()}
+    assert got[2].n_removed == 0 and got[0].n_removed == 0 and got[4].n_removed == len(shared.encode())
+    assert got[1].n_removed >= len(shared.encode()) and got[3].n_removed == len(rows[3][1].encode()) - 1
+    assert {r.doc_id: r.fp & (1 << 64) - 1 for r in simhash.near_duplicates(df).collect()} == {i: _fp(t) for i, t, _ in rows}
+    assert {r.doc_id: r.n_words for r in quality.judge(df).collect()} == {i: len(w) for i, w in words.items()}
+    bench = spark.createDataFrame([(7, shared)], "item_id long, text string")
+    assert {(r.doc_id, r.score) for r in decontam.matches(df, bench).collect()} == {(0, 1.0), (1, 1.0), (4, 1.0)}
+    assert {r.doc_id: r.lang_pred for r in langid.identify(df, *langid.learn(df)).collect()} == dict.fromkeys(range(5), "en")
+    assert toxicity.toxicity(df, spark.createDataFrame([(1, 1, 0), (0, 1, 1)], "doc_id long, quality int, toxic int")).count() == 5
+
+
 def test_smith_waterman():
     rng = random.Random(9)
 
@@ -234,6 +245,38 @@ def test_decontamination(spark, empty):
     assert decontam.matches(empty, bench).count() == 0
 
 
+def test_decontamination_is_all_pairs_alignment(spark):
+    """Every pair with a shared run of three words and a score over the threshold, and no other."""
+    rng = random.Random(37)
+    items = [prose(rng.randint(8, 30), rng) for _ in range(12)]
+    texts = []
+    for _ in range(60):
+        words = []
+        for part in rng.sample(items, 2):
+            part = part.split()
+            a = rng.randrange(len(part))
+            words += prose(rng.randint(0, 30), rng).split() + [w if rng.random() > 0.15 else rng.choice(_VOCAB) for w in part[a // 2 : len(part) - a // 3]]
+        texts.append(" ".join(words))
+    bench = spark.createDataFrame([*enumerate(items), (3, items[3])], "item_id long, text string")  # an item twice
+    df = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (None, "")], "doc_id long, text string")
+    for name in ("item_id", "score", "start_word"):
+        df = df.withColumn(name, F.lit("clash"))
+    got = Counter((r.doc_id, r.item_id, round(r.score, 6)) for r in decontam.matches(df, bench).collect())
+    code = {w: i + 1 for i, w in enumerate(sorted(set(_VOCAB)))}
+    want: Counter = Counter()
+    for d, t in [*enumerate(texts), (0, texts[0])]:
+        tw = t.split()
+        runs = {tuple(tw[i : i + 3]) for i in range(len(tw) - 2)}
+        for i, item in [*enumerate(items), (3, items[3])]:
+            iw = item.split()
+            if runs & {tuple(iw[k : k + 3]) for k in range(len(iw) - 2)}:
+                (score, _, _), = decontam.smith_waterman([(np.array([code[w] for w in iw], np.uint64), np.array([code[w] for w in tw], np.uint64))]).tolist()
+                if score / (2 * len(iw)) >= decontam.THRESHOLD:
+                    want[d, i, round(score / (2 * len(iw)), 6)] += 1
+    assert got == want and len(want) > 40
+    assert decontam.matches(df, bench.limit(0)).count() == 0
+
+
 def _edited(item: str) -> str:
     """A copy with every fifth word replaced: under half of its three-word runs are left, and 0.7 of a perfect score."""
     return " ".join("edit%d" % k if k % 5 == 3 else w for k, w in enumerate(item.split()))
@@ -328,6 +371,89 @@ def test_language_mixture(spark, empty):
     assert langid.identify(empty, names, logs).count() == 0 and langid.learn(empty)[0] == []
 
 
+def test_language_em_is_plain_em():
+    """Side by side or document by document, the proportions are those of textbook EM over the selected set."""
+    rng = np.random.default_rng(3)
+    count = np.array([12, 1, 40, 7])
+    like = np.exp(rng.normal(size=(count.sum(), 4)) * 2)
+    first = np.cumsum(count) - count
+    got = langid.infer(like, first, count)
+
+    def em(x, allowed, rounds):
+        pi = allowed / allowed.sum()
+        for _ in range(rounds):
+            r = x * pi
+            pi = (r / r.sum(axis=1, keepdims=True)).mean(axis=0)
+        return pi, np.log((x * pi).sum(axis=1)).sum()
+
+    for d, (a, n) in enumerate(zip(first, count)):
+        x, allowed = like[a : a + n], np.ones(4)
+        pi, fit = em(x, allowed, langid.ROUNDS)
+        while allowed.sum() > 1:
+            trial = allowed.copy()
+            trial[np.where(allowed > 0, pi, np.inf).argmin()] = 0
+            p, f = em(x, trial, max(3, langid.ROUNDS // 3))
+            if fit - f >= max(langid.PENALTY, 0.5 * math.log(n)):
+                break
+            allowed, pi, fit = trial, p, f
+        assert np.allclose(got[d], pi, atol=1e-9)
+
+
+def test_language_held_out_accuracy_and_defined_cases(spark):
+    rng = random.Random(31)
+    vocab = {x: ["".join(rng.choice(a) for _ in range(rng.randint(3, 8))) for _ in range(80)] for x, a in (("xx", "abcdef"), ("yy", "defghi"), ("zz", "ghijab"))}
+    rows = [(i, " ".join(rng.choice(vocab[x]) for _ in range(40)), x) for i, x in enumerate(["xx", "yy", "zz"] * 60)]
+    df = spark.createDataFrame([*rows, rows[1], (None, rows[0][1], None), (None, None, "xx")], "doc_id long, text string, lang string")
+    for name in ("bucket", "n", "score", "proportions", "held_out"):
+        df = df.withColumn(name, F.lit("clash"))
+    got = langid.predict_held_out(df).collect()
+    lang = {i: x for i, _, x in rows}
+    out = [r for r in got if r.held_out]
+    assert len(got) == len(rows) + 3 and len(out) > 20 and np.mean([r.lang_pred == lang[r.doc_id] for r in out]) >= 0.95
+    assert len({(r.lang_pred, r.score) for r in got if r.doc_id == 1}) == 1 and sum(r.lang_pred == "und" for r in got) == 1
+    # a tie of two languages with one distribution goes to the first by name
+    twins = spark.createDataFrame([(0, "abc abd", "b"), (1, "abc abd", "a")], "doc_id long, text string, lang string")
+    names, logs = langid.learn(twins)
+    assert langid.identify(twins, names, logs).first().lang_pred == "a"
+    # nothing learned: all is unknown
+    assert {r.lang_pred for r in langid.predict_held_out(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_many_languages(spark):
+    words = ["".join(random.Random(i).choices("abcdefghij", k=9)) for i in range(700)]
+    df = spark.createDataFrame([(i, " ".join([w] * 12), f"l{i:03d}") for i, w in enumerate(words)], "doc_id long, text string, lang string")
+    names, logs = langid.learn(df)
+    assert len(names) == 700 and logs.shape == (700, 1 << 14)
+    assert np.mean([r.lang_pred == f"l{r.doc_id:03d}" for r in langid.identify(df, names, logs).collect()]) > 0.98
+
+
+def test_bpe_remembers_within_bounds(monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(bpe, "_MEMO", 50)
+    merges = bpe.Merges(open(P.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    memo = bpe._Memo(merges)
+    plain = {w: memo.made(w) for w in [f"w{i}" for i in range(300)] + ["x" * 500]}
+    for _ in range(3):
+        assert all(memo[w] == ids for w, ids in plain.items())
+        assert len(memo) <= 50 and len(memo.older) <= 50 and "x" * 500 not in memo
+
+
+def test_bpe_pieces_across_slices(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    edge = bpe.SLICE
+    texts = ["a" * (edge - 3) + "bcd é x", " " * (edge - 1) + "the", "x " * (edge // 2) + "'s" * 20, "日" * (edge + 5), ("ab12" * edge)[: edge + 1] + "<|endoftext|>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in bpe.round_trip(df, path, with_ids=True).collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert list(got[i].ids) == ids and got[i].n_tokens == len(ids)
+        assert got[i].decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
 def test_bpe_against_the_library(spark, rows, docs):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -388,6 +514,49 @@ def test_toxicity(spark, empty):
     assert toxicity.toxicity(empty, lab).count() == 0
 
 
+def test_ordinal_loss_has_its_gradient():
+    rng = np.random.default_rng(7)
+    n, k = 40, 5
+    rows, cols = np.repeat(np.arange(n), 2), rng.integers(0, k, 2 * n)
+    values, y = rng.random(2 * n), rng.integers(0, 3, n)
+    theta = rng.normal(size=k + 2) * 0.3
+    value, grad = toxicity._loss(theta, rows, cols, values, n, k, y, 0.01)
+    x = np.zeros((n, k))
+    np.add.at(x, (rows, cols), values)
+    t = [theta[k], theta[k] + math.exp(theta[k + 1])]
+    cdf = [np.zeros(n), *(1 / (1 + np.exp(-(c - x @ theta[:k]))) for c in t), np.ones(n)]
+    p = np.array([cdf[g + 1][i] - cdf[g][i] for i, g in enumerate(y)])
+    assert np.isclose(value, (-np.log(p).sum() + 0.01 * n * (theta[:k] @ theta[:k]) / 2) / n)
+    for i in range(k + 2):
+        step = np.zeros(k + 2)
+        step[i] = 1e-5
+        up, down = (toxicity._loss(theta + s * step, rows, cols, values, n, k, y, 0.01)[0] for s in (1, -1))
+        assert abs((up - down) / 2e-5 - grad[i]) < 1e-6
+
+
+def test_toxicity_held_out_recall_and_defined_cases(spark):
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("the tables are not here")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    learn = labels.where("doc_id % 5 <> 0")
+    got = toxicity.toxicity(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), learn).join(labels.where("doc_id % 5 = 0").select("doc_id", F.col("toxic").alias("truth")), "doc_id").collect()
+    bad = [r for r in got if r.truth == 1]
+    assert len(bad) > 20 and np.mean([r.toxic for r in bad]) >= 0.9
+    assert np.mean([r.toxic for r in got if r.truth == 0]) <= 0.01
+
+
+def test_toxicity_without_labels(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None), (2, "")], "doc_id long, text string")
+    for name in ("grade", "feature", "n", "v", "severity", "toxic"):
+        df = df.withColumn(name, F.lit("clash"))
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(df, labels).collect()
+    assert len(got) == 4 and not any(r.toxic for r in got) and len({r.severity for r in got}) == 1
+    one = spark.createDataFrame([(1, 1, 1), (1, 1, 0), (1, 0, 1)], "doc_id long, quality int, toxic int")  # the worst label counts
+    assert len(toxicity.toxicity(df, one).collect()) == 4
+
+
 def test_url_parts_rules_and_reputation(spark):
     cases = [(1, "http://A.Example.ORG/es/x?q#f"), (2, "https://example.org/en/17"), (3, "http://x.com/fr/1"), (4, "http://x.com/de/1"), (5, "http://x.com"), (6, "no scheme"), (7, None), (8, "http://com/de/?x"), (9, "http://notexample.org/es/"), (10, "http://h.net?a/b"), (11, "http://É.net/É#x")]
     cases += [(100 + i, f"http://bad.net/{i}") for i in range(40)] + [(200 + i, f"http://good.net/{i}") for i in range(40)]
@@ -396,4 +565,36 @@ def test_url_parts_rules_and_reputation(spark):
     assert [(got[i].host, got[i].path) for i in (1, 5, 6, 7, 10, 11)] == [("a.example.org", "/es/x"), ("x.com", ""), ("", ""), ("", ""), ("h.net", ""), ("É.net", "/É")]
     assert [(got[i].rule, got[i].verdict) for i in (1, 2, 3, 4, 8, 9)] == [("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"), ("com/de/", "block"), ("org/", "allow")]
     assert got[101].verdict == "block" and got[201].verdict == "allow" and got[5].rule is None
-    assert got[10].bad_rate_bound < got[101].bad_rate_bound  # one bad page alone weighs less
+    assert got[10].chance_clean > got[101].chance_clean  # one bad page alone weighs less
+
+
+def test_url_levels_and_defined_cases(spark):
+    names = ["a.co.uk:8080", "u:p@b.com", "192.168.0.1:80", "[::1]:80", "x.y.z.com.", "co.uk", "localhost", "", "k.gov.fr", "com.museum"]
+    df = spark.createDataFrame([(n,) for n in names], "host string").withColumn("b", urls.bare_host(F.col("host")))
+    got = [(r.d, r.s) for r in df.select(urls.domain_of(F.col("b")).alias("d"), urls.suffix_of(F.col("b")).alias("s")).collect()]
+    assert got == [("a.co.uk", "co.uk"), ("b.com", "com"), ("192.168.0.1", "(address)"), ("[::1]", "(address)"), ("z.com", "com"), ("co.uk", "co.uk"), ("localhost", "localhost"), ("", ""), ("k.gov.fr", "gov.fr"), ("com.museum", "museum")]
+    pages = spark.createDataFrame([(1, "http://x.com/a")] * 3 + [(None, "http://x.com/a"), (2, None)], "page_id long, url string")
+    for name in ("host", "bare", "path", "a", "b", "domain", "suffix", "bad", "fit"):
+        pages = pages.withColumn(name, F.lit("clash"))
+    none = spark.createDataFrame([], "page_id long, bad boolean")
+    rows = urls.filter_urls(pages, none).collect()
+    assert len(rows) == 5 and {r.verdict for r in rows} == {"allow"}  # nothing is known: P(rate <= 0.25) is 0.25
+    assert all(abs(r.chance_clean - 0.25) < 1e-9 for r in rows)
+    assert urls.filter_urls(pages.limit(0), none).count() == 0
+
+
+def test_beta_chance(spark):
+    def integral(a, b, x=0.25, n=400_000):
+        t = (np.arange(n) + 0.5) / n
+        beta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+        if a < 1:  # over u = t ** a, as the density has no bound at 0
+            return x**a / a * ((1 - x * t ** (1 / a)) ** (b - 1)).mean() * math.exp(beta)
+        return x * np.exp(beta + (a - 1) * np.log(x * t) + (b - 1) * np.log1p(-x * t)).mean()
+
+    cases = [(0.3, 0.7), (1.0, 1.0), (2.5, 30.0), (40.0, 90.0), (0.02, 8.0), (300.0, 800.0), (30.0, 1.0)]
+    df = spark.createDataFrame(cases, "a double, b double")
+    got = df.select(urls.chance_up_to(0.25, F.col("a"), F.col("b")).alias("c")).collect()
+    assert all(abs(r.c - integral(a, b)) < 1e-5 for r, (a, b) in zip(got, cases))
+    big = spark.createDataFrame([(2600.0, 7400.0), (2580.0, 7420.0), (2500.0, 7500.0), (5200.0, 1.0)], "a double, b double")
+    # 0.25 is 2.3, 1.8 and 0 standard deviations below the means
+    assert [r.c <= 0.05 for r in big.select(urls.chance_up_to(0.25, F.col("a"), F.col("b")).alias("c")).collect()] == [True, True, False, True]
