@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,50 @@ def containment(needle: Column, candidate: Column, forward: float = 1.0, backwar
     return F.when(F.contains(candidate, F.substring(needle, 1, PREFIX)), forward).when(F.contains(needle, F.substring(candidate, 1, PREFIX)), backward)
 
 
+#: Items that are looked for in one scan of the texts; their automaton is broadcast.
+PASSAGE_BLOCK = 20_000
+
+
+def contained_passages(docs: DataFrame, items: DataFrame, block: int = PASSAGE_BLOCK) -> DataFrame:
+    """(doc_id, item_id, whole): the texts that hold an item's first PREFIX characters; ``whole``: all of it.
+
+    ``docs(doc_id, norm)`` and ``items(item_id, item)`` are in the form of :func:`match_norm`; shorter items match
+    nothing. Items are the query set: blocks of them, as automata, meet all texts in a scan; texts are not shuffled.
+    """
+    spark, n = docs.sparkSession, PREFIX
+
+    def scan(block_: list[tuple[int, str]]) -> DataFrame:
+        told = spark.sparkContext.broadcast(block_)
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            by_prefix: dict[str, list[tuple[int, str]]] = {}
+            for item_id, item in told.value:
+                by_prefix.setdefault(item[:n], []).append((item_id, item))
+            automaton = ahocorasick.Automaton()
+            for prefix, owners in by_prefix.items():
+                automaton.add_word(prefix, owners)
+            automaton.make_automaton()
+            for batch in batches:
+                rows = []
+                for doc_id, norm in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    seen = {id(owners): owners for _, owners in automaton.iter(norm)} if norm else {}
+                    rows += [(doc_id, item_id, item in norm) for owners in seen.values() for item_id, item in owners]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["doc_id", "item_id", "whole"])
+
+        return docs.select(F.col("doc_id").cast("long"), "norm").mapInArrow(find, "doc_id long, item_id long, whole boolean")
+
+    out, held = None, []
+    rows = items.where(F.length("item") >= n).select(F.col("item_id").cast("long").alias("item_id"), "item")
+    for r in rows.toLocalIterator():  # a block at a time
+        held.append((r.item_id, r["item"]))
+        if len(held) == block:
+            out = scan(held) if out is None else out.unionByName(scan(held))
+            held = []
+    if held:
+        out = scan(held) if out is None else out.unionByName(scan(held))
+    return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, whole boolean")
+
+
 def _score(probe: str, needle: str, cand: str) -> float:
     if probe[:PREFIX] in cand:
         return 1.0

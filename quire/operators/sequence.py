@@ -81,3 +81,16 @@ def delete_ranges(df: DataFrame, by: list[str], order: str, end: Column) -> Data
     """Rows without those in [place, end) of any row whose ``end`` is not null. ``order`` is a place."""
     df = df.withColumn("_end", end)
     return df.withColumn("_reach", F.max("_end").over(until(by, [order]))).where(F.col("_reach").isNull() | (F.col("_reach") <= F.col(order))).drop("_end", "_reach")
+
+
+def nearest_value(df: DataFrame, keys: list[str], at: str, candidate: Column, ident: Column) -> Column:
+    """struct(d, id) of the row nearest to each by ``at`` among those where ``candidate``; of equal distances the least id.
+
+    Two running windows, one a direction, so no pairs are made; null if there is no candidate.
+    """
+    gap = lambda c: F.abs(F.col(at) - c["at"])
+    back = F.max(F.when(candidate, F.struct(F.col(at).alias("at"), (-ident).alias("id")))).over(W.partitionBy(*keys).orderBy(at).rangeBetween(W.unboundedPreceding, W.currentRow))
+    ahead = F.max(F.when(candidate, F.struct((-F.col(at)).alias("at"), (-ident).alias("id")))).over(W.partitionBy(*keys).orderBy(F.desc(at)).rangeBetween(W.unboundedPreceding, W.currentRow))
+    one = F.when(back.isNotNull(), F.struct(gap(back).alias("d"), (-back["id"]).alias("id")))
+    two = F.when(ahead.isNotNull(), F.struct(F.abs(F.col(at) + ahead["at"]).alias("d"), (-ahead["id"]).alias("id")))
+    return F.least(one, two)

@@ -161,32 +161,17 @@ def resolve_ladder(spark, sf_dir):
 _NORM = "trim(regexp_replace(lower({0}), '[^a-z0-9%]+', ' ', 'g'))"
 
 
-def _prefix_hits(spark, sf_dir):
-    """Documents that hold an item's first characters: each text's substrings of that length meet the items by equality."""
-    n = align.PREFIX
-    b = _t(spark, sf_dir, "benchmark").select("item_id", match_norm(F.col("text")).alias("item")).withColumn("prefix", F.substring("item", 1, n)).where(F.length("prefix") == n)
-    # words of the prefix but its last, which may be cut: a key that texts have at word starts
+def _passages(spark, sf_dir) -> DataFrame:
+    """(doc_id, item_id, whole): documents that hold the beginning of an item."""
     d = _t(spark, sf_dir, "documents").select("doc_id", match_norm(F.col("text")).alias("norm"))
-    split = d.select("doc_id", F.split("norm", " ").alias("words"))  # a column of its own, so that it is made once a row
-    words = F.col("words")
-    triples = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 3), " ")))
-    # the prefix may start inside a word of the text, so its second to fourth words are the key
-    bw = F.split("prefix", " ")
-    keyed = b.withColumn("key", F.when(F.size(bw) >= 5, F.array_join(F.slice(bw, 2, 3), " ")))
-    j = split.select("doc_id", F.explode(triples).alias("key")).join(keyed.where("key is not null").select("key", "item_id"), "key").select("doc_id", "item_id").distinct()
-    few = keyed.where("key is null").select("item_id", "prefix")
-    checked = j.join(b.select("item_id", "item", "prefix"), "item_id").join(d, "doc_id").where(F.contains("norm", "prefix"))
-    return checked.select("doc_id", "item_id", "norm", "item"), d, few
+    return align.contained_passages(d, _t(spark, sf_dir, "benchmark").select("item_id", match_norm(F.col("text")).alias("item")))
 
 
 @_query(f"""WITH d AS (SELECT doc_id, {_NORM.format('text')} AS norm FROM documents), b AS (SELECT item_id, {_NORM.format('text')} AS item FROM benchmark)
 SELECT doc_id, item_id FROM d JOIN b ON contains(norm, left(item, 35)) WHERE length(item) >= 35""")
 def passage_match(spark, sf_dir):
-    """Documents that hold the beginning of an item. Joined on words of the beginning, then checked."""
-    found, d, few = _prefix_hits(spark, sf_dir)
-    rest = d.join(F.broadcast(few), F.contains("norm", "prefix")) if not few.isEmpty() else None  # items of under five words: a fixed query set
-    out = found.select("doc_id", "item_id")
-    return out if rest is None else out.unionByName(rest.select("doc_id", "item_id"))
+    """Documents that hold the beginning of an item: items are the query set, texts are scanned once."""
+    return _passages(spark, sf_dir).select("doc_id", "item_id")
 
 
 @_query(f"""WITH d AS (SELECT doc_id, {_NORM.format('text')} AS norm FROM documents), b AS (SELECT item_id, {_NORM.format('text')} AS item FROM benchmark),
@@ -194,8 +179,7 @@ j AS (SELECT item_id, doc_id, CASE WHEN contains(norm, item) THEN 1.0::DOUBLE EL
 SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM j) WHERE r = 1""")
 def passage_best(spark, sf_dir):
     """Each item's best document; of equal scores the first."""
-    found, _, _ = _prefix_hits(spark, sf_dir)
-    scored = found.withColumn("score", F.when(F.contains("norm", "item"), 1.0).otherwise(0.92))
+    scored = _passages(spark, sf_dir).withColumn("score", F.when(F.col("whole"), 1.0).otherwise(0.92))
     best = scored.groupBy("item_id").agg(F.max_by(F.struct("doc_id", "score"), F.struct("score", -F.col("doc_id"))).alias("b"))
     return best.select("item_id", "b.doc_id", "b.score")
 
@@ -425,13 +409,10 @@ def event_coverage(spark, sf_dir):
 j AS (SELECT p.event_id, click_id, abs(epoch_us(ts) - epoch_us(cts)) AS d FROM p JOIN c ON p.user_id = c.user_id AND abs(epoch_us(ts) - epoch_us(cts)) <= 86400000000)
 SELECT event_id, click_id FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY d, click_id) AS r FROM j) WHERE r = 1""")
 def nearest_event(spark, sf_dir):
-    """J11 (analogy): the nearest click of a purchase within a day. A band join: days meet by equality, then distance."""
-    day = 86_400_000_000
-    e = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    p = e.where("event_type = 'purchase'").select("event_id", "user_id", "us", F.explode(F.sequence(F.floor(F.col("us") / day) - 1, F.floor(F.col("us") / day) + 1)).alias("day"))
-    c = e.where("event_type = 'click'").select(F.col("event_id").alias("click_id"), "user_id", F.col("us").alias("cus"), F.floor(F.col("us") / day).alias("day"))
-    j = p.join(c, ["user_id", "day"]).withColumn("d", F.abs(F.col("us") - F.col("cus"))).where(F.col("d") <= day)
-    return j.groupBy("event_id").agg(F.min_by("click_id", F.struct("d", "click_id")).alias("click_id"))
+    """J11 (analogy): the nearest click of a purchase within a day, by two running windows instead of pairs."""
+    e = _t(spark, sf_dir, "events").where("event_type in ('purchase', 'click')").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    near = e.withColumn("near", sequence.nearest_value(e, ["user_id"], "us", F.col("event_type") == "click", F.col("event_id")))
+    return near.where((F.col("event_type") == "purchase") & (F.col("near.d") <= 86_400_000_000)).select("event_id", F.col("near.id").alias("click_id"))
 
 
 # -- lookups and helpers over the star schema --------------------------------------------------------------------------
