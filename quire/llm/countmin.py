@@ -35,7 +35,7 @@ COUNTERS = 4
 #: log2 of the counters that one reducer merges at a time, and of the least number of such ranges.
 MAX_BLOCK, LOG_BLOCKS = 22, 5
 #: Keys that are counted, and later looked up, together.
-FLUSH = 1 << 18
+FLUSH = 1 << 17
 _HEAD = -1  # the block under which a partial sketch's key count and sum travel
 
 Finder = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, Any]]]

@@ -34,7 +34,7 @@ from .textvec import U64, Chunk, Words, anchored_runs, binary, mix, numbered, pi
 WINDOW = 35
 GRAM = 12
 _FOUND = 4_000_000  # places held before they are sent on
-_HELD_BYTES = 1 << 25  # bytes of runs held before equal ones are settled
+_HELD_BYTES = 1 << 24  # bytes of runs held before equal ones are settled
 #: Windows of a bucket that are grouped at a time; a bucket with more is grouped share by share of their hashes.
 _SHARE = 1 << 21
 
