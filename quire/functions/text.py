@@ -111,7 +111,7 @@ def title_case(s: pd.Series) -> pd.Series:
 def duration(seconds: Column) -> Column:
     """``12.3s`` under a minute, then ``2m 05s``."""
     whole = F.bround(seconds).cast("long")
-    return F.when(seconds < 60, F.format_string("%.1fs", seconds.cast("double"))).otherwise(F.format_string("%dm %02ds", (whole / 60).cast("long"), whole % 60))
+    return F.when(seconds < 60, F.format_string("%.1fs", F.bround(seconds.cast("double"), 1))).otherwise(F.format_string("%dm %02ds", (whole / 60).cast("long"), whole % 60))
 
 
 def round_half_even(c: Column, scale: int = 0) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 from quire.config import ConversionConfig
 from quire.functions.text import file_name
 from quire.operators import align, cleanup, coverage, expand, grouping, lookup, order, qa, render, sections
-from quire.sources import idml, packages
+from quire.sources import idml, packages, sinks
+from quire.sources.sinks import guard_output  # noqa: F401
 from quire.staging import cut
+from quire.streaming.events import Progress
 
 
 @dataclass
@@ -33,26 +36,20 @@ class Conversion:
     qa: DataFrame
 
 
-def guard_output(out: str, inputs: list[str]) -> None:
-    """Refuse to write into a source package's folder."""
-    norm = lambda p: re.sub(r"^file:/*", "/", p).rstrip("/")
-    for i in inputs:
-        folder = norm(i)
-        if norm(out) == folder or folder.endswith(".idml") and norm(out) == folder.rpartition("/")[0]:
-            raise ValueError("the output would overwrite the source package")
-
-
-def convert(parts: DataFrame, config: ConversionConfig | None = None, links: DataFrame | None = None, equations: DataFrame | None = None, payloads: DataFrame | None = None, outcomes: DataFrame | None = None, pdf_blocks: DataFrame | None = None, visuals: DataFrame | None = None) -> Conversion:
+def convert(parts: DataFrame, config: ConversionConfig | None = None, links: DataFrame | None = None, equations: DataFrame | None = None, payloads: DataFrame | None = None, outcomes: DataFrame | None = None, pdf_blocks: DataFrame | None = None, visuals: DataFrame | None = None, progress: Progress | None = None) -> Conversion:
     """``parts`` of any number of packages to all output tables.
 
     ``links(doc_id, name, path)``, ``equations``, ``payloads(doc_id, original_ref, content)``, ``outcomes(path, ok)``,
-    ``pdf_blocks`` and ``visuals`` are optional inputs; without them the steps that need them do nothing.
+    ``pdf_blocks`` and ``visuals`` are optional inputs; without them the steps that need them do nothing. ``progress``
+    hears of each step that has been computed.
     """
+    say = (progress or Progress()).emit
     config = config or ConversionConfig()
     spark = parts.sparkSession
     good = parts.where("part_name <> '!error'")
     pages, frames = (cut(t, n) for t, n in zip(idml.layout(good), ("pages", "frames")))
     paragraphs = cut(idml.paragraphs(good, config.compat), "paragraphs")
+    say("parse", "stories and spreads read", progress=0.3)
     placed = order.place(frames, config.reading_order, idml.story_order(good))
     if links is None:
         links = spark.createDataFrame([], "doc_id string, name string, path string")
@@ -64,12 +61,15 @@ def convert(parts: DataFrame, config: ConversionConfig | None = None, links: Dat
     blocks = cut(expand.reconstruct(placed, paragraphs, assets if config.convert_assets else None), "blocks")
     blocks = lookup.inline_images(blocks, equations, assets, payloads, dpi=config.eq_render_dpi)
     blocks = cut(cleanup.drop_layout_panels(cleanup.clean(blocks)), "blocks")
+    say("cleanup", "blocks ordered and cleaned", progress=0.6)
     if pdf_blocks is not None:
         blocks = cut(align.align_positions(blocks, pdf_blocks), "blocks")
         if visuals is not None:
             blocks = cut(align.recover_visuals(blocks, visuals), "blocks")
+        say("align", "blocks aligned with the second source", progress=0.8)
     blocks = cut(grouping.group_examples(grouping.merge_anchored(blocks)), "blocks")
     blocks = cut(grouping.hoist_question_headers(blocks), "blocks")
+    say("group", "boxes, examples and questions grouped", progress=0.9)
     sectioned = sections.section_blocks(blocks)
     secs = sections.sections(sectioned)
     docs = good.select("doc_id").distinct()
@@ -85,6 +85,25 @@ def convert(parts: DataFrame, config: ConversionConfig | None = None, links: Dat
     return Conversion(good, pages, frames, paragraphs, blocks, secs, titles, html, assets, cover, stats, report)
 
 
+def write(result: Conversion, out: str, inputs: list[str] = (), progress: Progress | None = None) -> DataFrame:
+    """Pages, style sheet, statistics and report below ``out``; returns the files that a page needs, checked where they lie.
+
+    ``out/pages``, ``out/css``, ``out/stats``, ``out/qa``. Nothing is written into a folder of ``inputs``.
+    """
+    say, began = (progress or Progress()).emit, time.time()
+    spark = result.html.sparkSession
+    sinks.write_pages(result.html, f"{out}/pages", [*inputs, *(f"{i}/pages" for i in inputs)])
+    sinks.write_styles(spark, f"{out}/css")
+    sinks.write_json(result.stats, f"{out}/stats")
+    sinks.write_json(result.qa, f"{out}/qa")
+    say("write", f"written in {time.time() - began:.1f} s", progress=1.0)
+    there = packages.listing(spark, f"{out}/pages").where("length > 0").select(F.regexp_extract("dir", "document=([^/]*)$", 1).alias("document")).distinct()
+    pages = sinks.output_folders(result.html).join(there, "document").select("doc_id", F.lit("index.html").alias("rel"))
+    css = packages.listing(spark, f"{out}/css").where("length > 0").limit(1).select(F.lit("css/styles.css").alias("rel"))
+    docs = result.html.select("doc_id")
+    return qa.required_files(docs, pages.unionByName(docs.join(F.broadcast(css))))
+
+
 def inspect(parts: DataFrame) -> DataFrame:
     """One row a package: what is in it."""
     good = parts.where("part_name <> '!error'")

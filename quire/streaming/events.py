@@ -6,6 +6,8 @@ followed with Structured Streaming; observers are sinks.
 
 from __future__ import annotations
 
+import datetime
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +18,65 @@ from pyspark.sql.types import StructType
 LEVELS = ("DEBUG", "INFO", "WARNING", "ERROR")
 
 
+#: One emitted event, as a row.
+EVENT = "event_id long, ts timestamp, stage string, message string, level string, progress double"
+Listener = Callable[[dict], None]
+
+
+class Progress:
+    """What a job says of itself: each event goes to every listener, in the order in which they were attached.
+
+    A listener that fails is reported by the log and does not stop the job, nor the listeners after it.
+    """
+
+    def __init__(self):
+        self.listeners: list[Listener] = []
+        self.sent = 0
+
+    def attach(self, listener: Listener) -> Listener:
+        """Add a listener; one that is attached already is not added again."""
+        if listener not in self.listeners:
+            self.listeners.append(listener)
+        return listener
+
+    def detach(self, listener: Listener) -> None:
+        """Take a listener away; an unknown one is no error."""
+        if listener in self.listeners:
+            self.listeners.remove(listener)
+
+    def emit(self, stage: str, message: str, level: str = "INFO", progress: float | None = None) -> None:
+        if level not in LEVELS:
+            raise ValueError(f"unknown level {level}")
+        event = {"event_id": self.sent, "ts": datetime.datetime.now(), "stage": stage, "message": message, "level": level, "progress": progress}
+        self.sent += 1
+        for listener in list(self.listeners):
+            try:
+                listener(event)
+            except Exception:  # noqa: BLE001  who listens must not stop who works
+                logging.getLogger(__name__).exception("a listener failed")
+
+
+def log_listener(logger: logging.Logger | None = None) -> Listener:
+    """Events as lines of a log, at their level."""
+    to = logger or logging.getLogger("quire")
+    return lambda e: to.log(getattr(logging, e["level"]), "[%s] %s", e["stage"], e["message"])
+
+
+class TableListener:
+    """Events gathered, and written as a table that :func:`read` follows."""
+
+    def __init__(self):
+        self.rows: list[dict] = []
+
+    def __call__(self, event: dict) -> None:
+        self.rows.append(event)
+
+    def write(self, spark: SparkSession, path: str) -> None:
+        names = [f.split()[0] for f in EVENT.split(", ")]
+        spark.createDataFrame([tuple(r[n] for n in names) for r in self.rows], EVENT).coalesce(1).write.mode("append").parquet(path)
+        self.rows.clear()
+
+
 def read(spark: SparkSession, path: str, schema: StructType, glob: str | None = None, files_per_trigger: int | None = None) -> DataFrame:
     """A folder of Parquet events as a stream."""
     r = spark.readStream.schema(schema)

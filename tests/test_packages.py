@@ -69,6 +69,25 @@ def test_inspect_and_guard(parts):
         convert.guard_output("/a/pkg", ["/a/pkg/x.idml"])
 
 
+def test_outputs_are_guarded_apart_and_checked(spark, parts, tmp_path):
+    from quire.sources import sinks
+    from quire.streaming.events import Progress
+
+    html = spark.createDataFrame([("/a/book.idml", "one"), ("/b/book.idml", "two"), ("/b/other.idml", "three")], "doc_id string, html string")
+    names = {r.doc_id: r.document for r in sinks.output_folders(html).collect()}
+    assert len(set(names.values())) == 3 and names["/b/other.idml"] == "other"
+    with pytest.raises(ValueError, match="source package"):
+        sinks.write_pages(html, "/a", ["/a/book.idml"])
+    heard = []
+    progress = Progress()
+    progress.attach(lambda e: heard.append(e["stage"]))
+    made = convert.convert(parts, progress=progress)
+    rows = convert.write(made, str(tmp_path / "out"), progress=progress).collect()
+    assert [(r.ok, r.detail) for r in rows] == [(True, '{"missing":[]}')]
+    assert heard == ["parse", "cleanup", "group", "write"]
+    assert "Solutions" in "".join(r.value for r in spark.read.text(str(tmp_path / "out/pages")).collect())
+
+
 def test_link_check(spark, parts):
     links = spark.createDataFrame([("sample.idml", "eqn.wmf")], "doc_id string, name string")
     assert packages.check_links(parts, links).count() == 0  # stories are not looked at by default

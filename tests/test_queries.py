@@ -27,7 +27,7 @@ def _plain(v):
     return (None if math.isnan(v) else round(v, 6)) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if not n.startswith("package_convert")))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_sql(spark, con, name):
     df, want = entry.queries()[name](spark, SF), con.sql(entry.oracle_sql()[name])
     cols = sorted(df.columns)

@@ -21,3 +21,30 @@ def test_drain_counts_and_lines(spark, tmp_path):
     q = counts.writeStream.outputMode("append").format("memory").queryName("counts").trigger(availableNow=True).start()
     q.awaitTermination()
     assert q.exception() is None
+
+
+def test_progress_reaches_every_listener(spark, tmp_path, caplog):
+    progress, table, seen = events.Progress(), events.TableListener(), []
+
+    def broken(e):
+        raise RuntimeError("no")
+
+    for listener in (broken, seen.append, table, events.log_listener()):
+        progress.attach(listener)
+    progress.attach(table)  # not twice
+    with caplog.at_level("DEBUG"):
+        progress.emit("parse", "one", progress=0.5)
+        progress.emit("render", "two", "DEBUG")
+    progress.detach(broken)
+    progress.detach(broken)
+    progress.emit("write", "three", "ERROR")
+    assert [e["message"] for e in seen] == ["one", "two", "three"] and [e["event_id"] for e in seen] == [0, 1, 2]
+    assert "[parse] one" in caplog.text and "a listener failed" in caplog.text
+    table.write(spark, str(tmp_path / "log"))
+    got = spark.read.parquet(str(tmp_path / "log"))
+    assert sorted(r.message for r in events.visible(got).collect()) == ["one", "three"] and got.count() == 3
+    try:
+        progress.emit("x", "y", "LOUD")
+    except ValueError:
+        return
+    raise AssertionError("an unknown level must not pass")
