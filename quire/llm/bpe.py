@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import trimmed
+
 #: The pre-tokeniser's pattern and white space: fixed values of the public vocabulary.
 _S = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
@@ -38,8 +40,8 @@ _OPEN = {"L": regex.compile(r"\p{L}*"), "N": regex.compile(r"\p{N}*"), "S": rege
 
 SLICE = 1 << 16  # characters read at a time
 _LONG = 1 << 13  # characters after which an unfinished piece goes to the transducer as it comes
-#: Characters of a piece, or unit, whose ids are remembered, and how many are in a generation: 40 MB a generation at most.
-REMEMBERED, _MEMO = 48, 100_000
+#: Characters of a piece, or unit, whose ids are remembered, and how many are in a generation: 60 MB a generation at most.
+REMEMBERED, _MEMO = 48, 150_000
 #: White space other than space and line feed: fixed values. Python's own extra separators are in it, for caution.
 _OTHER = regex.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _NEVER = 1 << 40
@@ -207,7 +209,8 @@ class _Memo(_Remembered):
 
     def made(self, piece: str) -> bytes:
         run = _Run(self.merges)
-        return _digits(run.feed(piece.encode("utf-8", "surrogatepass")) + run.finish())
+        first = run.feed(piece.encode("utf-8", "surrogatepass"))
+        return _digits(first + run.finish() if first else run.finish())
 
 
 class _Units(_Remembered):
@@ -222,6 +225,9 @@ class _Units(_Remembered):
         self.memo = memo
 
     def made(self, unit: str) -> bytes:
+        if unit.isascii() and unit.isalpha():  # one piece, which is kept here and need not be kept twice
+            piece = " " + unit
+            return self.memo.get(piece) or self.memo.older.get(piece) or self.memo.made(piece)
         return b"".join(map(self.memo.__getitem__, _PIECE.findall(" " + unit)))
 
 
@@ -342,6 +348,13 @@ class Decoder:
         self.state.reset()
 
 
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that few texts and their ids are held at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _slices(text: str) -> Iterable[str]:
     return (text[i : i + SLICE] for i in range(0, len(text), SLICE))
 
@@ -369,7 +382,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges, memo, units = _loaded(source.value)
-        for batch in batches:
+        for batch in _few(batches):
             ids = []
             for text in batch.column("text").to_pylist():
                 enc, got = Encoder(merges, memo, units), []
@@ -378,7 +391,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 ids.append([int(i) for i in got + enc.finish().split(b",")[:-1]])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id long, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
@@ -394,7 +407,7 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
                 out.append(dec.feed(_digits(ids or [])) + dec.finish())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
 
-    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(trimmed(run), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
@@ -408,7 +421,7 @@ def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges, memo, units = _loaded(source.value)
         dec = Decoder(merges)
-        for batch in batches:
+        for batch in _few(batches):
             counts, ids_sha, text_sha, ids = [], [], [], []
             for text in batch.column("text").to_pylist():
                 enc, n, a, b, comma, parts = Encoder(merges, memo, units), 0, hashlib.sha256(), hashlib.sha256(), False, []
@@ -433,4 +446,4 @@ def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), schema)

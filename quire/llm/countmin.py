@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import filesystem, new_path, partitions
+from .shared import filesystem, new_path, partitions, trimmed
 from .textvec import U64, mix, planes, unplanes
 
 ROWS = 2
@@ -243,9 +243,9 @@ def build(docs: DataFrame, find: Finder, keys: int) -> Sketch:
                 yield _record(rows[a : a + 4096], _NAMES, _TYPES)
 
     # the heads, one a flush, are dealt by their part; the counters by their range
-    parts = docs.mapInArrow(partial, "block long, part long, flush long, once binary, twice binary")
+    parts = docs.mapInArrow(trimmed(partial), "block long, part long, flush long, once binary, twice binary")
     n = partitions(spark)
     merged = parts.repartition(n, "block", F.when(F.col("block") == _HEAD, F.col("part"))).sortWithinPartitions("block")
-    answers = merged.mapInArrow(_merge(log), "part long, flush long, block long, cells binary")
-    answers.repartition(n, "part").sortWithinPartitions("part", "flush", "block").mapInArrow(_write(folder, log), "part long").count()
+    answers = merged.mapInArrow(trimmed(_merge(log)), "part long, flush long, block long, cells binary")
+    answers.repartition(n, "part").sortWithinPartitions("part", "flush", "block").mapInArrow(trimmed(_write(folder, log)), "part long").count()
     return Sketch(folder, width)

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import trimmed
 from .textvec import U64, Chunk, byte_values, chunks, mix, prefix, ranges, span_hash, window_hash
 
 GRAM = 3
@@ -289,7 +290,7 @@ def _block_matches(docs: DataFrame, items, gram: int, threshold: float) -> DataF
             keys = list(best)
             yield pa.RecordBatch.from_arrays([pa.array([all_ids[r] for r, _ in keys], pa.int64()), pa.array([it.ids[i] for _, i in keys], pa.int64()), pa.array([best[k][0] for k in keys], pa.float64()), pa.array([best[k][1] for k in keys], pa.int64()), pa.array([best[k][2] for k in keys], pa.int64())], ["doc_id", "item_id", "score", "start_word", "end_word"])
 
-    return docs.mapInArrow(align, "doc_id long, item_id long, score double, start_word long, end_word long")
+    return docs.mapInArrow(trimmed(align), "doc_id long, item_id long, score double, start_word long, end_word long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:

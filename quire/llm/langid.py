@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import trimmed
 from .textvec import CHUNK_BYTES, U64, chunks, mix, ranges
 
 LOG_BUCKETS = 15
@@ -106,7 +107,7 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                 part = at[a : a + (1 << 14)]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(part, pa.int64()), pa.array(t[part], pa.int64())], ["lang", "bucket", "n"])
 
-    table = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # 2**LOG_CELLS rows at most
+    table = rows.mapInArrow(trimmed(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # 2**LOG_CELLS rows at most
     names = sorted(table["lang"].unique())
     counts = np.zeros((len(names), 1 << log))
     index = {x: i for i, x in enumerate(names)}
@@ -203,7 +204,7 @@ def identify(docs: DataFrame, languages: list[str], logs: np.ndarray, penalty: f
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(x for x in carry if x != "text"))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("proportions", T.MapType(T.StringType(), T.DoubleType())), *(rows.schema[x] for x in carry)])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 _ASCII = regex.compile(rb"[A-Za-z]")

@@ -13,7 +13,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .shared import partitions
+from .shared import partitions, trimmed
 from .textvec import U64, mix, planes, unplanes
 
 Places = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # rk_id, rk_hash, start, count of starts
@@ -153,4 +153,4 @@ def by_document(found: DataFrame) -> DataFrame:
         yield from close()
 
     n = partitions(found.sparkSession)
-    return found.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, "rk_id long, rk_hash long, places binary")
+    return found.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(merge), "rk_id long, rk_hash long, places binary")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import staged, trimmed
 from .textvec import U64, chunks, mix, numbered, prefix, same_windows, window_hash
 
 REPEAT_WINDOW = 5
@@ -74,7 +74,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("source"), *(pa.array(x, pa.int64()) for x in table)], ["doc_id", "lang", "source", *_STATS])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text")
-    return rows.mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{s} long" for s in _STATS))
+    return rows.mapInArrow(trimmed(run), "doc_id long, lang string, source string, " + ", ".join(f"{s} long" for s in _STATS))
 
 
 _STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper")
@@ -318,7 +318,7 @@ def _together(vectors: DataFrame, names: list[str], subset: float, steps: int) -
                     yield flush()
             yield flush()
 
-        rows = vectors.where(F.col("grp").isin(list(requests))).mapInArrow(partial, "grp string, k long, at long, flag long, high long, low long")  # noqa: B023
+        rows = vectors.where(F.col("grp").isin(list(requests))).mapInArrow(trimmed(partial), "grp string, k long, at long, flag long, high long, low long")  # noqa: B023
         got: dict[str, Answer] = {}
         for r in rows.groupBy("grp", "k", "at", "flag").agg(F.sum("high").alias("high"), F.sum("low").alias("low")).collect():  # bins and sums of BLOCK_GROUPS groups at most
             got.setdefault(r.grp, {})[r.k, r["at"], r.flag] = (r.high << _SPLIT) + r.low

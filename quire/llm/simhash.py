@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import staged
+from .shared import staged, trimmed
 from .textvec import pieces
 
 SHINGLE = 3
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             fps = np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view(np.int64).ravel() if batch.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id long, fp long")
 
 
 def _mask(positions) -> int:
@@ -183,8 +183,8 @@ def links(fps: DataFrame, distance: int = DISTANCE, refine: int = REFINE) -> Dat
     choice = F.array(*[F.when(F.col("posting") == _TRIPLES.index(t), F.struct(F.lit(100 + i).alias("posting"), k.alias("key"))) for i, (t, k) in enumerate(finer)])
     heavy = heavy.select("fp", F.explode(F.filter(choice, lambda x: x.isNotNull())).alias("p")).select("p.posting", "p.key", "fp")
     heavy = heavy.repartition("posting", "key").sortWithinPartitions("posting", "key")
-    light = light.mapInArrow(_links(distance, refine), "u long, v long")
-    heavy = heavy.mapInArrow(_links(distance, refine), "u long, v long")
+    light = light.mapInArrow(trimmed(_links(distance, refine)), "u long, v long")
+    heavy = heavy.mapInArrow(trimmed(_links(distance, refine)), "u long, v long")
     return light.unionByName(heavy)
 
 

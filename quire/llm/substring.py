@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import countmin, places
-from .shared import partitions, with_row_key
+from .shared import partitions, trimmed, with_row_key
 from .textvec import U64, Chunk, Words, anchored_runs, binary, mix, numbered, pieces, planes, prefix, ranges, same_windows, unplanes, window_hash
 
 WINDOW = 35
@@ -219,8 +219,8 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -
         if found:
             yield from places.rows(places.spread(places.joined(found), log_buckets))
 
-    dealt = texts.mapInArrow(deal, "bucket long, settled boolean, payload binary")
-    found = dealt.repartition(reducers, "bucket").sortWithinPartitions("bucket").mapInArrow(group, "bucket long, payload binary")
+    dealt = texts.mapInArrow(trimmed(deal), "bucket long, settled boolean, payload binary")
+    found = dealt.repartition(reducers, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(group), "bucket long, payload binary")
     return places.by_document(found)
 
 
@@ -261,4 +261,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carr
 
     rows = joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "places", *(x for x in carry if x != "text"))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), *(rows.schema[x] for x in carry)])
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(trimmed(cut), schema)

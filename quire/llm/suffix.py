@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import countmin, places
-from .shared import partitions, with_row_key
+from .shared import partitions, trimmed, with_row_key
 from .textvec import U64, anchored_runs, byte_values, chunks, mix, pieces, planes, prefix, ranges, unplanes, window_hash
 
 DEPTH = 50
@@ -238,8 +238,8 @@ def earlier_strings(keyed: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> D
         if found:
             yield from places.rows(places.spread(places.joined(found), log_buckets))
 
-    dealt = texts.mapInArrow(deal, "bucket long, settled boolean, payload binary")
-    found = dealt.repartition(reducers, "bucket").sortWithinPartitions("bucket").mapInArrow(finish, "bucket long, payload binary")
+    dealt = texts.mapInArrow(trimmed(deal), "bucket long, settled boolean, payload binary")
+    found = dealt.repartition(reducers, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(finish), "bucket long, payload binary")
     return places.by_document(found)
 
 
@@ -268,4 +268,4 @@ def remove_earlier_strings(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM
                     spans.append(0 if not found else inner + (left[0][0] > 0) + (left[-1][1] < b - a) if left else 1)
                 yield pa.RecordBatch.from_arrays([ids[chunk.rows.start : chunk.rows.stop], pa.array(np.diff(chunk.offs), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "places").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "places").mapInArrow(trimmed(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

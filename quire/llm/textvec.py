@@ -42,7 +42,7 @@ _powers: dict[int, np.ndarray] = {}
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 21)
+        size = max(n, (1 << 20) + (1 << 14))
         have = np.full(size, base, dtype=U64)
         have[0] = 1
         _powers[base] = have = np.cumprod(have)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontam import _words
-from .shared import staged
+from .shared import staged, trimmed
 from .textvec import U64, chunks
 
 LOG_FEATURES = 20
@@ -162,7 +162,7 @@ def fit(labelled: DataFrame, grades: int = GRADES, keep: int = KEEP) -> OrdinalM
     if not rows:
         return OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.full(grades - 1, 20.0) + np.arange(grades - 1))
     mean = sum(g * n for g, n in counts.items()) / rows
-    sums = labelled.select("text", "grade").mapInArrow(summed, "feature long, " + ", ".join(f"{x} double" for x in _STATS))
+    sums = labelled.select("text", "grade").mapInArrow(trimmed(summed), "feature long, " + ", ".join(f"{x} double" for x in _STATS))
     table = sums.groupBy("feature").agg(*[F.sum(x).alias(x) for x in _STATS]).where(F.col("n") >= MIN_ROWS).toPandas()  # 2**LOG_FEATURES rows at most
     best = _choose({x: table[x].to_numpy(float) for x in _STATS}, table["feature"].to_numpy(np.int64), rows, mean, keep)
     chosen = labelled.sparkSession.sparkContext.broadcast(best)
@@ -179,7 +179,7 @@ def fit(labelled: DataFrame, grades: int = GRADES, keep: int = KEEP) -> OrdinalM
                 lists = [[x[a:b] for a, b in zip(cut[:-1], cut[1:])] for x in (at, value)]
                 yield pa.RecordBatch.from_arrays([grade[part.start : part.stop], pa.array(lists[0], pa.list_(pa.int32())), pa.array(lists[1], pa.list_(pa.float64()))], ["grade", "features", "values"])
 
-    got = labelled.select("text", "grade").mapInArrow(extract, "grade int, features array<int>, values array<double>").toArrow()  # the sample's rows, chosen features only
+    got = labelled.select("text", "grade").mapInArrow(trimmed(extract), "grade int, features array<int>, values array<double>").toArrow()  # the sample's rows, chosen features only
     y = got["grade"].to_numpy().astype(np.int64)
     sizes = got["features"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
     cols, values = (pa.concat_arrays([x.flatten() for x in got[c].chunks]).to_numpy() for c in ("features", "values"))
@@ -215,7 +215,7 @@ def grade(docs: DataFrame, model: OrdinalModel) -> DataFrame:
             bad = 1 - p[:, 0]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(severity), pa.array(p.argmax(axis=1), pa.int32()), pa.array(bad >= 0.5), pa.array(bad)], ["doc_id", "severity", "grade", "toxic", "p_toxic"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, severity double, grade int, toxic boolean, p_toxic double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id long, severity double, grade int, toxic boolean, p_toxic double")
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
