@@ -15,12 +15,14 @@ from quire.sources import idml, packages
 
 from .catalogue import _LINES, _long, _query, _t
 
-_D = F.col("doc_id").cast("string")
+def _d() -> Column:
+    return F.col("doc_id").cast("string")
+
 
 
 def _say(fmt: str) -> Column:
     """``fmt`` with the document's id for {d}."""
-    return F.replace(F.lit(fmt), F.lit("{d}"), _D)
+    return F.replace(F.lit(fmt), F.lit("{d}"), _d())
 
 
 def _said(column: str, key: str = "doc_id") -> str:
@@ -47,7 +49,7 @@ def _blocks(docs: DataFrame, rows: list[dict]) -> DataFrame:
             v = v if isinstance(v, Column) else _say(v) if isinstance(v, str) else F.lit(v)
             cells.append(v.cast({"RUNS": f"array<{schema.RUN}>", "GRID": schema.GRID}.get(kind, kind)).alias(name))
         made.append(F.struct(*cells) if when is None else F.when(F.col("doc_id") % when[0] == when[1], F.struct(*cells)))
-    out = docs.select(_D.alias("id"), "doc_id").select("id", F.explode(F.array(*made)).alias("b")).where("b is not null")
+    out = docs.select(_d().alias("id"), "doc_id").select("id", F.explode(F.array(*made)).alias("b")).where("b is not null")
     return out.select(F.col("id").alias("doc_id"), "b.*")
 
 
@@ -130,28 +132,32 @@ def _cell(said: str, html: str = "", colspan: int = 1, rowspan: int = 1) -> Colu
     return F.struct(F.lit(said).alias("text"), F.lit(html).alias("html"), F.lit(colspan).alias("colspan"), F.lit(rowspan).alias("rowspan"))
 
 
-_GRID = F.array(F.array(_cell("A<", colspan=2), _cell("B")), F.array(_cell("c", "<b>c</b>"), _cell("d"), _cell("", rowspan=2)))
-_PAGE = [
-    {"type": "chapter_title", "text": "Title {d}"},
-    {"type": "heading", "text": "Part one"},
-    {"text": "Speaker: words of {d}"},
-    {"type": "list_item", "text": "Label: a < b"},
-    {"type": "list_item", "text": "plain"},
-    {"type": "question", "text": "Q2. Why?"},
-    {"type": "question", "text": "and why not?"},
-    {"type": "heading", "text": "Key note"},
-    {"text": "Exercise"},
-    {"block_kind": "image", "type": "image", "src": "images/{d}.png", "alt": "chapter opener", "runs": []},
-    {"block_kind": "math", "type": "math_display", "latex": "x^{2}", "runs": []},
-    {"block_kind": "math", "type": "math_display", "latex": "", "fallback_image": "m.png", "runs": []},
-    {"block_kind": "table", "type": "table", "grid": _GRID, "runs": []},
-    {"type": "heading", "text": "Part two"},
-    {"type": "heading", "text": "Part  Two"},
-    {"type": "subpoint", "text": "a point"},
-    {"text": "ex  -5", "ex_label": True, "box_group": 1, "box_kind": "example"},
-    {"text": "inside", "box_group": 1, "box_kind": "example"},
-    {"text": "", "runs": [_run(is_image=True, src="i.png", original_ref="i.wmf", max_h_px=20.4)]},
-]
+def _grid() -> Column:
+    return F.array(F.array(_cell("A<", colspan=2), _cell("B")), F.array(_cell("c", "<b>c</b>"), _cell("d"), _cell("", rowspan=2)))
+
+def _page() -> list[dict]:
+    return [
+        {"type": "chapter_title", "text": "Title {d}"},
+        {"type": "heading", "text": "Part one"},
+        {"text": "Speaker: words of {d}"},
+        {"type": "list_item", "text": "Label: a < b"},
+        {"type": "list_item", "text": "plain"},
+        {"type": "question", "text": "Q2. Why?"},
+        {"type": "question", "text": "and why not?"},
+        {"type": "heading", "text": "Key note"},
+        {"text": "Exercise"},
+        {"block_kind": "image", "type": "image", "src": "images/{d}.png", "alt": "chapter opener", "runs": []},
+        {"block_kind": "math", "type": "math_display", "latex": "x^{2}", "runs": []},
+        {"block_kind": "math", "type": "math_display", "latex": "", "fallback_image": "m.png", "runs": []},
+        {"block_kind": "table", "type": "table", "grid": _grid(), "runs": []},
+        {"type": "heading", "text": "Part two"},
+        {"type": "heading", "text": "Part  Two"},
+        {"type": "subpoint", "text": "a point"},
+        {"text": "ex  -5", "ex_label": True, "box_group": 1, "box_kind": "example"},
+        {"text": "inside", "box_group": 1, "box_kind": "example"},
+        {"text": "", "runs": [_run(is_image=True, src="i.png", original_ref="i.wmf", max_h_px=20.4)]},
+    ]
+
 _HTML = [
     "",
     '<h2 class="heading">Part one</h2>\n',
@@ -176,7 +182,7 @@ _HTML = [
 
 
 def _titles(spark, sf_dir) -> DataFrame:
-    return _docs(spark, sf_dir).select(_D.alias("doc_id"), _say("Title {d}").alias("title"))
+    return _docs(spark, sf_dir).select(_d().alias("doc_id"), _say("Title {d}").alias("title"))
 
 
 _RENDERED = f"SELECT doc_id::VARCHAR AS doc_id, i::BIGINT AS order_key, replace({_said('h')}, '{{id}}', substr(sha256(doc_id::VARCHAR || '|' || i::VARCHAR), 1, 32)) AS html FROM documents, {_values(*enumerate(_HTML))} v(i, h)"
@@ -185,7 +191,7 @@ _RENDERED = f"SELECT doc_id::VARCHAR AS doc_id, i::BIGINT AS order_key, replace(
 @_query(_RENDERED)
 def block_render(spark, sf_dir):
     """Each kind of block as HTML, with list and box edges, a title left out, a heading repeated."""
-    b = sections.section_blocks(_blocks(_docs(spark, sf_dir), _PAGE))
+    b = sections.section_blocks(_blocks(_docs(spark, sf_dir), _page()))
     return render.rendered_blocks(b, _titles(spark, sf_dir)).select("doc_id", F.col("order_key").cast("long").alias("order_key"), "html")
 
 
@@ -196,7 +202,7 @@ _SECTION_OF = "CASE WHEN order_key = 0 THEN 1 WHEN order_key < 7 THEN 2 WHEN ord
 SELECT doc_id, sha256('<main class="doc">' || chr(10) || '<h1 class="doc-title">Title ' || doc_id || '</h1>' || chr(10) || string_agg(h, '' ORDER BY s) || '</main>' || chr(10) || '</body>' || chr(10) || '</html>' || chr(10)) AS body_sha256 FROM s GROUP BY doc_id""")
 def page_document(spark, sf_dir):
     """whole pages, from the opening of their body on."""
-    out = render.render(sections.section_blocks(_blocks(_docs(spark, sf_dir), _PAGE)), _titles(spark, sf_dir))
+    out = render.render(sections.section_blocks(_blocks(_docs(spark, sf_dir), _page())), _titles(spark, sf_dir))
     return out.select("doc_id", F.sha2(F.expr("substr(html, locate('<main', html))"), 256).alias("body_sha256"))
 
 
@@ -212,13 +218,16 @@ def inline_html(spark, sf_dir):
 
 # -- checks, statistics, titles ----------------------------------------------------------------------------------------
 
-_CHECKED = [
-    {"type": "heading", "text": "Start"},
-    {"block_kind": "math", "latex": F.when(F.col("doc_id") % 3 == 0, "{x").otherwise("x"), "runs": []},
-    {"block_kind": "image", "src": F.when(F.col("doc_id") % 4 == 0, "").otherwise("images/a.png"), "runs": []},
-    {"text": "t", "runs": [_run("t"), _run(is_image=True, original_ref="e.WMF", latex=F.when(F.col("doc_id") % 5 == 0, "").otherwise("x"))]},
-    {"type": "heading", "text": " ", "runs": [], "when": (6, 0)},
-]
+
+def _checked() -> list[dict]:
+    return [
+        {"type": "heading", "text": "Start"},
+        {"block_kind": "math", "latex": F.when(F.col("doc_id") % 3 == 0, "{x").otherwise("x"), "runs": []},
+        {"block_kind": "image", "src": F.when(F.col("doc_id") % 4 == 0, "").otherwise("images/a.png"), "runs": []},
+        {"text": "t", "runs": [_run("t"), _run(is_image=True, original_ref="e.WMF", latex=F.when(F.col("doc_id") % 5 == 0, "").otherwise("x"))]},
+        {"type": "heading", "text": " ", "runs": [], "when": (6, 0)},
+    ]
+
 
 
 @_query("""WITH d AS (SELECT doc_id FROM documents), r AS (
@@ -236,12 +245,12 @@ SELECT doc_id::VARCHAR AS doc_id, chk AS "check", ok, err AS is_error, skipped,
 def qa_rules(spark, sf_dir):
     """Every rule over documents that break some of them."""
     ids = _docs(spark, sf_dir)
-    docs = ids.select(_D.alias("doc_id"))
-    b = _blocks(ids, _CHECKED)
-    files = ids.select(_D.alias("id"), "doc_id", F.explode(F.array(*map(F.lit, ("index.html", "css/styles.css", "images/a.png")))).alias("rel"))
+    docs = ids.select(_d().alias("doc_id"))
+    b = _blocks(ids, _checked())
+    files = ids.select(_d().alias("id"), "doc_id", F.explode(F.array(*map(F.lit, ("index.html", "css/styles.css", "images/a.png")))).alias("rel"))
     files = files.where(~((F.col("rel") == "css/styles.css") & (F.col("doc_id") % 2 == 0)) & ~((F.col("rel") == "images/a.png") & (F.col("doc_id") % 7 == 0))).select(F.col("id").alias("doc_id"), "rel")
-    assets = ids.select(_D.alias("doc_id"), F.lit(0).alias("first_ix"), F.lit("a.png").alias("original_name"), (F.col("doc_id") % 8 != 0).alias("found"), F.when(F.col("doc_id") % 8 == 1, "").otherwise("images/a.png").alias("output_rel"))
-    cover = ids.select(_D.alias("doc_id"), F.lit(1).alias("tables"), F.when(F.col("doc_id") % 9 == 0, 2).otherwise(1).alias("src_tables"))
+    assets = ids.select(_d().alias("doc_id"), F.lit(0).alias("first_ix"), F.lit("a.png").alias("original_name"), (F.col("doc_id") % 8 != 0).alias("found"), F.when(F.col("doc_id") % 8 == 1, "").otherwise("images/a.png").alias("output_rel"))
+    cover = ids.select(_d().alias("doc_id"), F.lit(1).alias("tables"), F.when(F.col("doc_id") % 9 == 0, 2).otherwise(1).alias("src_tables"))
     sectioned = sections.section_blocks(b)
     rules = [
         qa.required_files(docs, files), qa.profile_checks(docs, MobileProfile()), qa.math_well_formed(docs, b), qa.images_linked(docs, b, files), qa.equations_resolved(docs, b),
@@ -250,20 +259,23 @@ def qa_rules(spark, sf_dir):
     return qa.report(rules)
 
 
-_COUNTED = [
-    {"type": "heading", "text": "One two"},
-    {"text": "three {d}", "page": 1, "runs": [_run("three {d}"), _run(is_image=True, original_ref="e.wmf", latex="x"), _run(is_image=True, original_ref="f.emf")]},
-    {"block_kind": "table", "runs": [], "page": 1, "when": (4, 0)},
-    {"block_kind": "image", "src": "images/p.png", "original_ref": "pdf:p1", "runs": [], "page": 2, "when": (3, 0)},
-    {"text": "boxed", "box_group": 2, "box_kind": "callout"},
-]
+
+def _counted() -> list[dict]:
+    return [
+        {"type": "heading", "text": "One two"},
+        {"text": "three {d}", "page": 1, "runs": [_run("three {d}"), _run(is_image=True, original_ref="e.wmf", latex="x"), _run(is_image=True, original_ref="f.emf")]},
+        {"block_kind": "table", "runs": [], "page": 1, "when": (4, 0)},
+        {"block_kind": "image", "src": "images/p.png", "original_ref": "pdf:p1", "runs": [], "page": 2, "when": (3, 0)},
+        {"text": "boxed", "box_group": 2, "box_kind": "callout"},
+    ]
+
 
 
 @_query("""SELECT doc_id::VARCHAR AS doc_id, 18 + length(doc_id::VARCHAR) AS characters, 5::BIGINT AS words, 3::BIGINT AS text_blocks, 2::BIGINT AS equations, (CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END)::BIGINT AS tables, 1::BIGINT AS sections,
   ceil((18 + length(doc_id::VARCHAR)) / 4.0)::BIGINT AS tokens, (1 + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS images_placed, (2 + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS pages FROM documents""")
 def block_statistics(spark, sf_dir):
     """All statistics of documents with tables, pictures and equations."""
-    b = _blocks(_docs(spark, sf_dir), _COUNTED)
+    b = _blocks(_docs(spark, sf_dir), _counted())
     out = coverage.statistics(b, sections.sections(sections.section_blocks(b)))
     return out.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("characters", "words", "text_blocks", "equations", "tables", "sections", "tokens", "images_placed", "pages")))
 
@@ -278,10 +290,10 @@ def _raw(said: str = "", image: str = "", grid: Column | None = None, frame: str
 def source_coverage(spark, sf_dir):
     """A1, A2: what the source refers to against what came out."""
     ids = _docs(spark, sf_dir)
-    runs = F.array(_raw("a"), _raw(grid=_GRID), _raw(image="x.png"), _raw(frame="u1"))
-    more = F.when(F.col("doc_id") % 2 == 0, F.array(_raw(grid=_GRID))).otherwise(F.array().cast(f"array<{schema.RAW_RUN}>"))
-    paras = ids.select(_D.alias("doc_id"), F.concat(runs.cast(f"array<{schema.RAW_RUN}>"), more.cast(f"array<{schema.RAW_RUN}>")).alias("runs"))
-    out = coverage.coverage(paras, _blocks(ids, _COUNTED))
+    runs = F.array(_raw("a"), _raw(grid=_grid()), _raw(image="x.png"), _raw(frame="u1"))
+    more = F.when(F.col("doc_id") % 2 == 0, F.array(_raw(grid=_grid()))).otherwise(F.array().cast(f"array<{schema.RAW_RUN}>"))
+    paras = ids.select(_d().alias("doc_id"), F.concat(runs.cast(f"array<{schema.RAW_RUN}>"), more.cast(f"array<{schema.RAW_RUN}>")).alias("runs"))
+    out = coverage.coverage(paras, _blocks(ids, _counted()))
     names = ("src_tables", "src_images", "src_frames", "tables", "equations", "equations_resolved", "figures", "boxes")
     return out.select("doc_id", *(F.col(c).cast("long").alias(c) for c in names), F.col("tables_pct").cast("double").alias("tables_pct"), F.col("equations_pct").cast("double").alias("equations_pct"))
 
@@ -292,7 +304,7 @@ def title_guess(spark, sf_dir):
     ids = _docs(spark, sf_dir)
     b = _blocks(ids, [{"type": "heading", "text": "Something else"}, {"type": "heading", "text": "Pure Waters", "when": (4, 0)}, {"type": "chapter_title", "text": "Chapter {d}", "when": (4, 1)}])
     stem = F.when(F.col("doc_id") % 4 == 3, "").otherwise("12-pure_water")
-    return sections.documents(b, ids.select(_D.alias("doc_id"), stem.alias("stem"))).select("doc_id", "title")
+    return sections.documents(b, ids.select(_d().alias("doc_id"), stem.alias("stem"))).select("doc_id", "title")
 
 
 @_query("SELECT (CASE WHEN count(*) = 0 THEN 1 ELSE max(CASE WHEN quality = 1 THEN 0 ELSE 2 END) END)::BIGINT AS rc FROM labels")
@@ -311,8 +323,8 @@ def align_lines(spark, sf_dir):
     from quire.sources import text as source
 
     lines = source.lines(_t(spark, sf_dir, "documents")).select("doc_id", F.col("para_ix").cast("int").alias("ix"), F.concat(F.lit("paragraph "), F.col("para_ix").cast("string"), F.lit(" says "), F.col("text")).alias("text"))
-    b = lines.select(_D.alias("doc_id"), F.col("ix").alias("order_key"), F.lit("text").alias("block_kind"), "text", F.lit(0).alias("page"), F.lit(0.0).alias("y"))
-    pdf = lines.select(_D.alias("doc_id"), F.floor(F.col("ix") / 5).cast("int").alias("page"), (F.col("ix") % 5).alias("block_ix"), (F.col("ix") % 5 * 10).cast("double").alias("y0"), F.upper("text").alias("text"))
+    b = lines.select(_d().alias("doc_id"), F.col("ix").alias("order_key"), F.lit("text").alias("block_kind"), "text", F.lit(0).alias("page"), F.lit(0.0).alias("y"))
+    pdf = lines.select(_d().alias("doc_id"), F.floor(F.col("ix") / 5).cast("int").alias("page"), (F.col("ix") % 5).alias("block_ix"), (F.col("ix") % 5 * 10).cast("double").alias("y0"), F.upper("text").alias("text"))
     out = align.align_positions(b, pdf)
     return out.select("doc_id", F.col("order_key").cast("long").alias("order_key"), F.col("page").cast("long").alias("page"), "y")
 
@@ -329,7 +341,7 @@ def recovered_visuals(spark, sf_dir):
     none, even = F.lit(""), F.col("doc_id") % 2 == 0
     # of even documents the figure has the text before it for an anchor; of odd ones its place alone
     rows = F.array(visual(0, "opener", 0, 0.0, none, none), visual(1, "figure", 0, 99.0, F.when(even, _say("The first words that stand on this page of {d}.")).otherwise(none), none), visual(2, "finisher", 1, 0.0, none, none))
-    visuals = ids.select(_D.alias("id"), F.explode(rows).alias("v")).select(F.col("id").alias("doc_id"), "v.*")
+    visuals = ids.select(_d().alias("id"), F.explode(rows).alias("v")).select(F.col("id").alias("doc_id"), "v.*")
     out = align.recover_visuals(_blocks(ids, _ANCHORED), visuals)
     what = F.when(F.col("block_kind") == "image", F.col("alt")).otherwise(F.col("text"))
     return out.select("doc_id", F.col("order_key").cast("long").alias("order_key"), "block_kind", what.alias("what"))
@@ -394,8 +406,8 @@ def inline_resolve(spark, sf_dir):
     ref = F.element_at(F.array(*map(F.lit, ("Links/e.wmf", "Links/m.wmf", "Links/a.png", "Links/none.emf"))), (F.col("doc_id") % 4 + 1).cast("int"))
     b = _blocks(ids, [{"text": "t", "runs": [_run("t"), _run(is_image=True, original_ref=ref)]}])
     eq = spark.createDataFrame([("e.wmf", "x", False)], schema.EQUATIONS)
-    payloads = ids.where("doc_id % 4 = 1").select(_D.alias("doc_id"), F.lit("Links/m.wmf").alias("original_ref"), F.encode(F.lit("\x01<math><mfrac><mi>a</mi><mi>b</mi></mfrac></math>"), "UTF-8").alias("content"))
-    assets = ids.select(_D.alias("doc_id"), F.lit("Links/a.png").alias("original_ref"), F.lit("a.png").alias("original_name"), F.lit(True).alias("found"), F.lit("images/a.png").alias("output_rel"))
+    payloads = ids.where("doc_id % 4 = 1").select(_d().alias("doc_id"), F.lit("Links/m.wmf").alias("original_ref"), F.encode(F.lit("\x01<math><mfrac><mi>a</mi><mi>b</mi></mfrac></math>"), "UTF-8").alias("content"))
+    assets = ids.select(_d().alias("doc_id"), F.lit("Links/a.png").alias("original_ref"), F.lit("a.png").alias("original_name"), F.lit(True).alias("found"), F.lit("images/a.png").alias("output_rel"))
     r = F.col("runs")[1]
     out = lookup.inline_images(b, eq, assets, payloads)
     return out.select("doc_id", F.when(r["latex"] != "", F.concat(F.lit("latex:"), r["latex"])).when(r["src"] != "", F.concat(F.lit("src:"), r["src"], F.lit("|"), r["alt"])).otherwise("open:").alias("resolved"))
@@ -417,7 +429,7 @@ def _table_parts(docs: DataFrame) -> DataFrame:
     story = f'<S_><Story Self="u1"><ParagraphStyleRange AppliedParagraphStyle="ParagraphStyle/Body"><CharacterStyleRange PointSize="11"><Content>before</Content>{table}<TextFrame Self="f" ParentStory="u2"/></CharacterStyleRange></ParagraphStyleRange></Story></S_>'
     part = lambda n, b: F.struct(F.lit(n).alias("part_name"), F.encode(_say(b), "UTF-8").alias("body"))
     parts = F.array(part("designmap.xml", '<Document StoryList="u1"/>'), part("Stories/Story_u1.xml", story), part("Resources/Fonts.xml", '<F_><FontFamily Self="f" Name="Face {d}"/></F_>'), part("Resources/Styles.xml", '<F_><ParagraphStyle Self="b" Name="Body"/></F_>'), part("Stories/Story_bad.xml", "<no"))
-    return docs.select(_D.alias("id"), F.explode(parts).alias("p")).select(F.col("id").alias("doc_id"), "p.*")
+    return docs.select(_d().alias("id"), F.explode(parts).alias("p")).select(F.col("id").alias("doc_id"), "p.*")
 
 
 @_query("SELECT doc_id::VARCHAR AS doc_id, 'A' || doc_id || '|B/C|' AS cells, 2::BIGINT AS colspan, 2::BIGINT AS rowspan, 'u2' AS frame FROM documents")
