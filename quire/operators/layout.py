@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.config import MobileProfile
+from quire.functions.html import esc
+
 from .sequence import gap_sessions, renumber
 
 PAGE = ["doc_id", "page"]
@@ -81,3 +84,23 @@ def visual_anchors(visuals: DataFrame, pdf_blocks: DataFrame) -> DataFrame:
         F.coalesce(F.max_by("text", F.when(F.col("over") & (F.col("ty1") <= F.col("y0")), F.col("ty1"))), F.lit("")).alias("anchor_before"),
         F.coalesce(F.min_by("text", F.when(F.col("over") & (F.col("ty0") >= F.col("y1")), F.col("ty0"))), F.lit("")).alias("anchor_after"),
     )
+
+
+def facsimile_tiles(clips: DataFrame, pages: DataFrame, profile: MobileProfile | None = None, least: float = 8.0) -> DataFrame:
+    """(doc_id, page, clip_ix, src, x0, x1, height, width_pt, height_pt): what each clip becomes on a page of the profile's width.
+
+    Clips under ``least`` points wide or high give no tile; the others keep their numbers.
+    """
+    width = (profile or MobileProfile()).page_width * 72 / 96
+    src = F.format_string("images/page_%03d_%d.jpg", (F.col("page") + 1).cast("int"), (F.col("clip_ix") + 1).cast("int"))
+    t = clips.join(pages.select(*PAGE, F.col("height").cast("double").alias("height")), PAGE)
+    t = t.where((F.col("x1") - F.col("x0") >= least) & (F.col("height") >= least))
+    return t.select(*PAGE, "clip_ix", src.alias("src"), "x0", "x1", "height", F.lit(float(width)).alias("width_pt"), (F.col("height") * (F.lit(float(width)) / (F.col("x1") - F.col("x0")))).alias("height_pt"))
+
+
+def facsimile_pages(docs: DataFrame, tiles: DataFrame, profile: MobileProfile | None = None) -> DataFrame:
+    """(doc_id, html): a document's tiles in order, as one page. A document without tiles has an empty body."""
+    tag = lambda t, i: F.concat(F.lit('<img src="'), esc(t["src"]), F.lit('" alt="page tile '), (i + 1).cast("string"), F.lit('" loading="lazy">'))
+    per = tiles.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "clip_ix", "src"))), tag), "\n").alias("body"))
+    start = f'<!doctype html><html lang="en"><head><meta charset="utf-8"><meta name="viewport" content="width={(profile or MobileProfile()).page_width}, initial-scale=1"><title>Facsimile</title><link rel="stylesheet" href="css/styles.css"></head><body>'
+    return docs.select("doc_id").join(per, "doc_id", "left").select("doc_id", F.concat(F.lit(start), F.coalesce("body", F.lit("")), F.lit("</body></html>")).alias("html"))

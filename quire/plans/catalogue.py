@@ -497,9 +497,7 @@ def qa_report(spark, sf_dir):
 def asset_notes(spark, sf_dir):
     """J6 (analogy): references resolved once each against the files there are."""
     p = _t(spark, sf_dir, "pages")
-    refs = p.select(F.lit("d").alias("doc_id"), F.concat(F.lit("file:Links/"), F.col("page_id").cast("string"), F.lit("%2Epng")).alias("link_uri"))
-    files = _t(spark, sf_dir, "labels").select(F.lit("d").alias("doc_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".PNG ")).alias("name")).withColumn("path", F.trim("name"))
-    out = lookup.resolve_assets(refs, files)
+    refs = p.select(F.col("page_id").alias("doc_id"), F.concat(F.lit("file:Links/"), F.col("page_id").cast("string"), F.lit("%2Epng")).alias("link_uri"))
+    files = _t(spark, sf_dir, "labels").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".PNG ")).alias("name")).withColumn("path", F.trim("name"))
+    out = lookup.resolve_assets(refs, files, refs)
     return out.select(F.substring_index("original_name", ".", 1).cast("long").alias("page_id"), "note", "found")
-
-

@@ -377,15 +377,35 @@ def figure_bands(spark, sf_dir):
 @_query("""SELECT doc_id, page::BIGINT AS page, clip::BIGINT AS clip_ix, x0, x1 FROM documents, (VALUES (0, 0, 0.0::DOUBLE, 400.0::DOUBLE, 2), (1, 0, 0.0, 210.0, 0), (1, 1, 190.0, 400.0, 0), (1, 0, 0.0, 400.0, 1), (2, 0, 0.0, 400.0, 2)) v(page, clip, x0, x1, m) WHERE m = 2 OR doc_id % 2 = m""")
 def column_clips(spark, sf_dir):
     """Two-column pages told by the words that cross their middle, and cut in two."""
+    out, _ = _clips(spark, sf_dir)
+    return out.select("doc_id", F.col("page").cast("long").alias("page"), F.col("clip_ix").cast("long").alias("clip_ix"), "x0", "x1")
+
+
+def _clips(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     ids = _docs(spark, sf_dir)
     pages = ids.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("page")).withColumns({"width": F.lit(400.0), "height": F.lit(600.0)})
     # on page 1 of even documents 25 words and 4 blocks stand on either side of 200; on the others all lie across
     two = (F.col("page") == 1) & (F.col("doc_id") % 2 == 0)
     left = F.col("i") % 2 == 0
     spans = lambda n: pages.select("doc_id", "page", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).select("doc_id", "page", F.when(two & ~left, 232.0).otherwise(20.0).alias("x0"), F.when(two & left, 168.0).otherwise(380.0).alias("x1"))
-    gutter = layout.gutters(spans(50), pages, spans(8))
-    out = layout.column_clips(pages, gutter)
-    return out.select("doc_id", F.col("page").cast("long").alias("page"), F.col("clip_ix").cast("long").alias("clip_ix"), "x0", "x1")
+    return layout.column_clips(pages, layout.gutters(spans(50), pages, spans(8))), pages
+
+
+_TILES = """(SELECT doc_id, v.page, clip, 'images/page_' || lpad((v.page + 1)::VARCHAR, 3, '0') || '_' || (clip + 1) || '.jpg' AS src, w FROM documents, (VALUES (0, 0, 400.0::DOUBLE, 2), (1, 0, 210.0, 0), (1, 1, 210.0, 0), (1, 0, 400.0, 1), (2, 0, 400.0, 2)) v(page, clip, w, m) WHERE m = 2 OR doc_id % 2 = m)"""
+
+
+@_query(f"SELECT doc_id, page::BIGINT AS page, clip::BIGINT AS clip_ix, src, 270.0::DOUBLE AS width_pt, round_even(600 * 270 / w, 6) AS height_pt FROM {_TILES}")
+def facsimile_tiles(spark, sf_dir):
+    """K8: the clips of pages as tiles of one width."""
+    out = layout.facsimile_tiles(*_clips(spark, sf_dir))
+    return out.select("doc_id", F.col("page").cast("long").alias("page"), F.col("clip_ix").cast("long").alias("clip_ix"), "src", "width_pt", F.bround("height_pt", 6).alias("height_pt"))
+
+
+@_query(f"""SELECT doc_id, '<!doctype html><html lang="en"><head><meta charset="utf-8"><meta name="viewport" content="width=360, initial-scale=1"><title>Facsimile</title><link rel="stylesheet" href="css/styles.css"></head><body>'
+  || string_agg('<img src="' || src || '" alt="page tile ' || n || '" loading="lazy">', chr(10) ORDER BY n) || '</body></html>' AS html FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, clip) AS n FROM {_TILES}) GROUP BY doc_id""")
+def facsimile_pages(spark, sf_dir):
+    """K9: a document's tiles as one page."""
+    return layout.facsimile_pages(_docs(spark, sf_dir), layout.facsimile_tiles(*_clips(spark, sf_dir)))
 
 
 # -- lookups -----------------------------------------------------------------------------------------------------------

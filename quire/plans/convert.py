@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.config import ConversionConfig
+from quire.config import ConversionConfig, MobileProfile
 from quire.functions.text import file_name
 from quire.operators import align, cleanup, coverage, expand, grouping, lookup, order, qa, render, sections
 from quire.sources import idml, packages, sinks
@@ -77,31 +77,37 @@ def convert(parts: DataFrame, config: ConversionConfig | None = None, links: Dat
     html = render.render(sectioned, titles, config.profile)
     cover = coverage.coverage(paragraphs, blocks)
     stats = coverage.statistics(blocks, secs, assets, pages.groupBy("doc_id").agg(F.count("*").alias("source_pages")))
-    made = docs.select("doc_id", F.explode(F.array(F.lit("index.html"), F.lit("css/styles.css"))).alias("rel"))
     report = qa.report([
-        qa.required_files(docs, made), qa.profile_checks(docs, config.profile), qa.math_well_formed(docs, blocks), qa.images_linked(docs, blocks), qa.equations_resolved(docs, blocks),
+        qa.profile_checks(docs, config.profile), qa.math_well_formed(docs, blocks), qa.images_linked(docs, blocks), qa.equations_resolved(docs, blocks),
         qa.no_empty_sections(docs, sectioned, secs, config.compat), qa.asset_checks(assets), qa.tables_covered(cover), qa.dynamic_checks(docs),
     ])
     return Conversion(good, pages, frames, paragraphs, blocks, secs, titles, html, assets, cover, stats, report)
 
 
-def write(result: Conversion, out: str, inputs: list[str] = (), progress: Progress | None = None) -> DataFrame:
+def written_files(spark: SparkSession, out: str) -> DataFrame:
+    """(document, rel): the files that the pages below ``out`` need and that lie there, with something in them."""
+    files = packages.listing(spark, out).where("length > 0")
+    pages = files.select(F.regexp_extract("dir", "/pages/document=([^/]*)$", 1).alias("document")).where("document <> ''").distinct()
+    css = files.where(F.col("dir").endswith("/css")).limit(1).select(F.lit("css/styles.css").alias("rel"))
+    return pages.withColumn("rel", F.lit("index.html")).unionByName(pages.join(F.broadcast(css)))  # one row
+
+
+def write(result: Conversion, out: str, inputs: list[str] = (), progress: Progress | None = None, profile: MobileProfile | None = None) -> DataFrame:
     """Pages, style sheet, statistics and report below ``out``; returns the files that a page needs, checked where they lie.
 
-    ``out/pages``, ``out/css``, ``out/stats``, ``out/qa``. Nothing is written into a folder of ``inputs``.
+    ``out/pages``, ``out/css``, ``out/stats``, ``out/qa``. Nothing is written into a folder of ``inputs``. The report holds
+    the conversion's checks and that of the files.
     """
     say, began = (progress or Progress()).emit, time.time()
     spark = result.html.sparkSession
     sinks.write_pages(result.html, f"{out}/pages", [*inputs, *(f"{i}/pages" for i in inputs)])
-    sinks.write_styles(spark, f"{out}/css")
+    sinks.write_styles(spark, f"{out}/css", profile)
     sinks.write_json(result.stats, f"{out}/stats")
-    sinks.write_json(result.qa, f"{out}/qa")
+    folders = sinks.output_folders(result.html)
+    files = cut(qa.required_files(folders, folders.join(written_files(spark, out), "document").select("doc_id", "rel")), "files")
+    sinks.write_json(qa.report([result.qa, files]), f"{out}/qa")
     say("write", f"written in {time.time() - began:.1f} s", progress=1.0)
-    there = packages.listing(spark, f"{out}/pages").where("length > 0").select(F.regexp_extract("dir", "document=([^/]*)$", 1).alias("document")).distinct()
-    pages = sinks.output_folders(result.html).join(there, "document").select("doc_id", F.lit("index.html").alias("rel"))
-    css = packages.listing(spark, f"{out}/css").where("length > 0").limit(1).select(F.lit("css/styles.css").alias("rel"))
-    docs = result.html.select("doc_id")
-    return qa.required_files(docs, pages.unionByName(docs.join(F.broadcast(css))))
+    return files
 
 
 def inspect(parts: DataFrame) -> DataFrame:
@@ -112,19 +118,29 @@ def inspect(parts: DataFrame) -> DataFrame:
 
 
 def validate(spark: SparkSession, out: str) -> DataFrame:
-    """Check converted folders again: the files that must be there, per document folder below ``out``."""
-    files = packages.listing(spark, out).withColumn("rel", F.expr(f"substring(path, length(regexp_extract(path, '^(.*?{re.escape(out.rstrip('/').rpartition('/')[2])})/', 1)) + 2)"))
-    files = files.select(F.substring_index("rel", "/", 1).alias("doc_id"), F.regexp_replace("rel", "^[^/]*/", "").alias("rel"))
+    """Check converted folders again: the files that must be there, for each document that :func:`write` wrote below ``out``.
+
+    Where there is none, every folder of ``out`` is taken for a document of its own.
+    """
+    files = written_files(spark, out).withColumnRenamed("document", "doc_id")
+    if files.isEmpty():
+        files = packages.listing(spark, out).withColumn("rel", F.expr(f"substring(path, length(regexp_extract(path, '^(.*?{re.escape(out.rstrip('/').rpartition('/')[2])})/', 1)) + 2)"))
+        files = files.select(F.substring_index("rel", "/", 1).alias("doc_id"), F.regexp_replace("rel", "^[^/]*/", "").alias("rel"))
     docs = files.select("doc_id").distinct()
     return qa.report([qa.required_files(docs, files), qa.dynamic_checks(docs)])
 
 
-def batch(spark: SparkSession, root: str, config: ConversionConfig | None = None) -> Conversion:
-    """All packages below ``root`` in one job; packages that cannot be read are left out of it, see :func:`failures`."""
-    files = packages.listing(spark, root)
+def package_links(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, name, path): the linked files beside each package below ``path``, or beside the package ``path``."""
+    files = packages.listing(spark, (path.rpartition("/")[0] or ".") if path.endswith(".idml") else path)
     links = files.where(file_name(F.col("dir")) == "Links").select(F.regexp_replace("dir", "/[^/]*$", "").alias("folder"), "name", "path")
     docs = files.where("ext = 'idml'").select(F.col("path").alias("doc_id"), F.col("dir").alias("folder"))
-    return convert(packages.unpack(spark, root), config, docs.join(links, "folder").select("doc_id", "name", "path"))
+    return docs.join(links, "folder").select("doc_id", "name", "path")
+
+
+def batch(spark: SparkSession, root: str, config: ConversionConfig | None = None) -> Conversion:
+    """All packages below ``root`` in one job; packages that cannot be read are left out of it, see :func:`failures`."""
+    return convert(packages.unpack(spark, root), config, package_links(spark, root))
 
 
 def failures(parts: DataFrame) -> DataFrame:
@@ -132,9 +148,7 @@ def failures(parts: DataFrame) -> DataFrame:
     return parts.where("part_name = '!error'").select("doc_id", F.decode("body", "UTF-8").alias("error"))
 
 
-def return_codes(parts: DataFrame, report: DataFrame) -> DataFrame:
-    """(doc_id, rc): 0 passed, 2 with errors, 1 not read."""
+def return_codes(parts: DataFrame | None, report: DataFrame) -> DataFrame:
+    """(doc_id, rc): 0 passed, 2 with errors, 1 not read (told from ``parts``, where they are given)."""
     ok = qa.verdicts(report).select("doc_id", F.when(F.col("passed"), 0).otherwise(2).alias("rc"))
-    return ok.unionByName(failures(parts).select("doc_id", F.lit(1).alias("rc")))
-
-
+    return ok if parts is None else ok.unionByName(failures(parts).select("doc_id", F.lit(1).alias("rc")))
