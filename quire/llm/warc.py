@@ -31,6 +31,7 @@ DICT_BYTES = 1 << 15
 SAMPLE_BYTES = 1 << 20
 #: An archive is closed once it holds so many bytes of records before compression.
 ARCHIVE_BYTES = 1 << 27
+READ_BYTES = 1 << 16
 
 
 def _record_id(page_id: int | None, salt: str = "") -> str:
@@ -96,20 +97,23 @@ class ArchiveWriter:
 
 
 def read_archive(stream) -> Iterator[tuple[int, bytes]]:
-    """(number, record) of an archive, in order, from a binary stream; memory holds one frame at a time."""
+    """(number, record) of an archive, in order, from a binary stream; memory holds one frame at a time.
+
+    What follows a frame's end is handed on whole, so READ_BYTES is small beside an archive, yet holds many records.
+    """
     head = stream.read(8)
     if len(head) < 8:
         return
     magic, size = struct.unpack("<II", head)
     if magic != SKIPPABLE:
         raise ValueError("the archive does not begin with its dictionary")
-    data = zstandard.ZstdCompressionDict(stream.read(size))
+    zstd = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(stream.read(size)))
     held, number = b"", 0
-    dec = zstandard.ZstdDecompressor(dict_data=data).decompressobj()
+    dec = zstd.decompressobj()
     parts: list[bytes] = []
     while True:
         if not held:
-            held = stream.read(1 << 20)
+            held = stream.read(READ_BYTES)
             if not held:
                 break
         parts.append(dec.decompress(held))
@@ -117,7 +121,7 @@ def read_archive(stream) -> Iterator[tuple[int, bytes]]:
         if dec.eof:
             yield number, b"".join(parts)
             number, parts, held = number + 1, [], dec.unused_data
-            dec = zstandard.ZstdDecompressor(dict_data=data).decompressobj()
+            dec = zstd.decompressobj()
     if any(parts):
         raise ValueError("the archive ends inside a record")
 
