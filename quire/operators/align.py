@@ -15,8 +15,7 @@ from quire import schema
 from quire.functions.similarity import matching_ratio, ratio
 from quire.functions.text import match_norm
 
-from .cleanup import DOC, ORDER
-from .sequence import carry_forward, renumber
+from .folds import fold
 
 PREFIX = 35
 LEAST = 8
@@ -24,12 +23,6 @@ _BACK, _AHEAD = 8, 350
 _FIELDS = [c.split()[0] for c in re.split(r", (?=\w+ )", re.sub(r"<.*?>(?=,|$)", "", schema.BLOCKS))]
 
 
-def candidates(pdf_blocks: DataFrame) -> DataFrame:
-    """Text positions of the second source that are long enough to match, numbered in order."""
-    c = pdf_blocks.withColumn("norm", match_norm(F.col("text"))).where(F.length("norm") >= LEAST)
-    return renumber(c, DOC, ["page", "block_ix"], "cand_ix").select("doc_id", "cand_ix", "page", "y0", "norm")
-
-
 def containment(needle: Column, candidate: Column, forward: float = 1.0, backward: float = 0.92) -> Column:
     """The score of a prefix of one text found in the other; null if neither."""
     return F.when(F.contains(candidate, F.substring(needle, 1, PREFIX)), forward).when(F.contains(needle, F.substring(candidate, 1, PREFIX)), backward)
@@ -79,10 +72,55 @@ def contained_passages(docs: DataFrame, items: DataFrame, block: int = PASSAGE_B
     return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, whole boolean")
 
 
-def _score(probe: str, needle: str, cand: str) -> float:
-    if probe[:PREFIX] in cand:
-        return 1.0
-    return 0.92 if cand[:PREFIX] in needle else ratio(probe, cand[: max(120, len(probe))])
+def _letters(text: str) -> dict[str, int]:
+    """Where each character of ``text`` stands, as bits."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(text):
+        at[c] = at.get(c, 0) | 1 << i
+    return at
+
+
+def _ceiling(at: dict[str, int], n: int, other: str) -> float:
+    """No less than the matching ratio with ``other`` of a text of ``n`` characters: its blocks are a common subsequence."""
+    v = full = (1 << n) - 1
+    for c in other:
+        u = v & at.get(c, 0)
+        v = (v + u | v - u) & full
+    return 2.0 * (n - v.bit_count()) / (n + len(other)) if n + len(other) else 1.0
+
+
+def most_alike(text: str, others: list[tuple[int, str]], threshold: float, best: float = 0.0, at: int = -1, swap: bool = False) -> tuple[float, int]:
+    """(score, place) of the other text with the greatest matching ratio, of equal ones the least place; beats ``best``, ``at``.
+
+    Ratios below ``threshold`` do not count. The ratio is computed only where its ceiling leaves it a chance, greatest
+    ceiling first. ``swap``: the other text is the first argument of the ratio.
+    """
+    letters = _letters(text)
+    open_ = sorted(((-_ceiling(letters, len(text), other), i, other) for i, other in others), key=lambda x: x[:2])
+    for top, i, other in open_:
+        if -top < threshold or -top < best:
+            break
+        if -top == best and 0 <= at < i:
+            continue
+        s = ratio(other, text) if swap else ratio(text, other)
+        if s >= threshold and s > 0 and (s > best or s == best and not 0 <= at < i):
+            best, at = s, i
+    return best, at
+
+
+def _best_candidate(needle: str, norms: list[str], low: int, high: int, threshold: float) -> tuple[float, int]:
+    """(score, place) of the candidate in [low, high) that scores best, of equal ones the first; (0, -1) if none comes to ``threshold``.
+
+    A prefix of the text in the candidate is 1, the candidate's prefix in the text 0.92, else it is their matching ratio.
+    """
+    probe = needle[:120]
+    start = probe[:PREFIX]
+    for i in range(low, high):
+        if start in norms[i]:
+            return (1.0, i) if threshold <= 1.0 else (0.0, -1)
+    held = {i for i in range(low, high) if norms[i][:PREFIX] in needle}
+    best, at = (0.92, min(held)) if held and threshold <= 0.92 else (0.0, -1)
+    return most_alike(probe, [(i, norms[i][:120]) for i in range(low, high) if i not in held], threshold, best, at)
 
 
 def align_positions(blocks: DataFrame, pdf_blocks: DataFrame, threshold: float = 0.55, spread_unmatched: bool = True) -> DataFrame:
@@ -90,48 +128,38 @@ def align_positions(blocks: DataFrame, pdf_blocks: DataFrame, threshold: float =
 
     Each match moves the window of the next, so this is a fold per document; a block looks at no more than 358
     candidates. Blocks left unmatched are spread over the candidates in proportion (``spread_unmatched``); tables stand
-    just under the text before them.
+    just under the text before them. Blocks and candidates meet in one exchange.
     """
-    texts = blocks.where("block_kind = 'text'").select("doc_id", "order_key", match_norm(F.col("text")).alias("norm"))
-
-    def one(key, rows: pd.DataFrame, cand: pd.DataFrame) -> pd.DataFrame:
-        rows, cand = rows.sort_values("order_key"), cand.sort_values("cand_ix")
-        norms, found, cursor = cand["norm"].tolist(), [], 0
-        total = len(rows)
-        for seen, needle in enumerate(rows["norm"]):
-            best, at = 0.0, -1
-            if len(needle) >= LEAST:
-                for i in range(max(0, cursor - _BACK), min(len(norms), cursor + _AHEAD)):
-                    s = _score(needle[:120], needle, norms[i])
-                    if s > best:
-                        best, at = s, i
-                    if best == 1.0:
-                        break
-            matched = best >= threshold and at >= 0
-            cursor = max(cursor, at) if matched else cursor
-            if not matched:
-                at = min(len(norms) - 1, round(seen * (len(norms) - 1) / (total - 1))) if spread_unmatched and needle and norms and total > 1 else -1
-            found.append((key[0], matched, at))
-        out = pd.DataFrame(found, columns=["doc_id", "matched", "cand_ix"])
-        out["order_key"] = rows["order_key"].tolist()
-        return out
-
-    cand = candidates(pdf_blocks)
-    hit = texts.groupBy("doc_id").cogroup(cand.groupBy("doc_id")).applyInPandas(one, "doc_id string, matched boolean, cand_ix int, order_key int")
-    hit = hit.join(cand.select("doc_id", "cand_ix", F.col("page").alias("new_page"), F.col("y0").alias("new_y")), ["doc_id", "cand_ix"]).drop("cand_ix")
-    out = blocks.join(hit, ["doc_id", "order_key"], "left")
-    # an unmatched block that already has a page keeps it
-    use = F.col("matched") | ((F.col("page") == 0) & F.col("new_page").isNotNull())
-    out = out.withColumns({"page": F.when(use, F.col("new_page")).otherwise(F.col("page")), "y": F.when(use, F.col("new_y")).otherwise(F.col("y"))})
-    return tables_after_text(out.select(*blocks.columns))
-
-
-def tables_after_text(blocks: DataFrame) -> DataFrame:
-    """Tables take the page of the text before them, and a y just below."""
-    at = F.when(F.col("block_kind") == "text", F.struct("page", "y"))
-    out = carry_forward(blocks, DOC, ORDER, at, "_at")
-    table = (F.col("block_kind") == "table") & F.col("_at").isNotNull()
-    return out.withColumns({"page": F.when(table, F.col("_at.page")).otherwise(F.col("page")), "y": F.when(table, F.col("_at.y") + 0.1).otherwise(F.col("y"))}).select(*blocks.columns)
+
+    def one(rows: list[tuple]) -> Iterator[tuple]:
+        mine, cand = ([(i, *r[2:]) for i, r in enumerate(rows) if r[1] == side] for side in (0, 1))
+        norms = [r[2] for r in cand]
+        total, cursor, seen, above = sum(r[1] == "text" for r in mine), 0, -1, None
+        for i, kind, needle, page, y in mine:
+            if kind == "text":
+                seen += 1
+                best, at = _best_candidate(needle, norms, max(0, cursor - _BACK), min(len(norms), cursor + _AHEAD), threshold) if len(needle) >= LEAST else (0.0, -1)
+                matched = best >= threshold and at >= 0
+                cursor = max(cursor, at) if matched else cursor
+                if not matched:
+                    at = min(len(norms) - 1, round(seen * (len(norms) - 1) / (total - 1))) if spread_unmatched and needle and norms and total > 1 else -1
+                # an unmatched block that already has a page keeps it
+                if at >= 0 and (matched or page == 0 and cand[at][3] is not None):
+                    page, y = cand[at][3:]
+                above = (page, y)
+            elif kind == "table" and above:
+                page, y = above[0], None if above[1] is None else above[1] + 0.1
+            yield page, y, i
+
+    text = F.col("block_kind") == "text"
+    rest = [c for c in blocks.columns if c not in ("page", "y")]
+    row = F.struct(*rest).alias("_row")
+    own = blocks.select("doc_id", F.lit(0).alias("_side"), "block_kind", F.when(text, match_norm(F.col("text"))).alias("_norm"), "page", "y", F.col("order_key").alias("_at"), F.lit(None).cast("int").alias("_then"), row)
+    norm = pdf_blocks.select("doc_id", F.lit(1).alias("_side"), F.lit(None).cast("string").alias("block_kind"), match_norm(F.col("text")).alias("_norm"), "page", F.col("y0").alias("y"), F.col("page").alias("_at"), F.col("block_ix").alias("_then"), F.lit(None).cast(own.schema["_row"].dataType).alias("_row"))
+    both = own.unionByName(norm.where(F.length("_norm") >= LEAST))
+    kinds = {f.name: f.dataType.simpleString() for f in both.schema.fields}
+    out = fold(both, ["_side", "_at", "_then"], one, f"page {kinds['page']}, y {kinds['y']}", ["_side", "block_kind", "_norm", "page", "y"], ["_row"])
+    return out.select(*(F.col(c) if c in ("page", "y") else F.col(f"_row.{c}") for c in blocks.columns))
 
 
 def anchor_scores(anchors: DataFrame, blocks: DataFrame, before: bool, threshold: float = 0.42) -> DataFrame:
