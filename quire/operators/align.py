@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire import schema
-from quire.functions.similarity import matching_ratio, ratio
+from quire.functions.similarity import ratio
 from quire.functions.text import match_norm
 
 from .folds import fold
@@ -20,7 +17,8 @@ from .folds import fold
 PREFIX = 35
 LEAST = 8
 _BACK, _AHEAD = 8, 350
-_FIELDS = [c.split()[0] for c in re.split(r", (?=\w+ )", re.sub(r"<.*?>(?=,|$)", "", schema.BLOCKS))]
+#: A place that is not known: neither before nor after any other.
+_NONE = float("nan")
 
 
 def containment(needle: Column, candidate: Column, forward: float = 1.0, backward: float = 0.92) -> Column:
@@ -162,73 +160,98 @@ def align_positions(blocks: DataFrame, pdf_blocks: DataFrame, threshold: float =
     return out.select(*(F.col(c) if c in ("page", "y") else F.col(f"_row.{c}") for c in blocks.columns))
 
 
-def anchor_scores(anchors: DataFrame, blocks: DataFrame, before: bool, threshold: float = 0.42) -> DataFrame:
-    """(doc_id, visual_ix, order_key, score): the text block of the anchor's page that is most like it.
+def anchor_score(target: str, texts: list[tuple[int, str]], before: bool, threshold: float = 0.42) -> tuple[int, float] | None:
+    """(order_key, score): the text, of those (order_key, text), that is most like an anchor; None below ``threshold``.
 
-    An equi-join on document and page, then a score and an arg-max; of equal scores the first block wins.
+    Both are in the form of :func:`match_norm`; of equal scores the first block wins.
     """
-    target = match_norm(F.col("anchor"))
-    clipped = F.expr("right(target, 1200)") if before else F.substring("target", 1, 1200)
-    a = anchors.withColumn("target", target).where(F.length("target") >= 12).withColumn("target", clipped).select("doc_id", "page", "visual_ix", "target")
-    b = blocks.where("block_kind = 'text'").select("doc_id", "page", "order_key", match_norm(F.col("text")).alias("cand")).where(F.length("cand") >= LEAST)
-    j = a.join(b, ["doc_id", "page"])
-    near = F.expr("right(target, 220)") if before else F.substring("target", 1, 220)
-    j = j.withColumn("c", F.when(F.contains("target", F.substring("cand", 1, PREFIX)), 1.0 + F.least(F.length("cand"), F.lit(200)) / 1000.0).when(F.contains("cand", F.substring("target", 1, PREFIX)), 0.95))
-    sure, open_ = j.where("c is not null").withColumn("score", F.col("c")), j.where("c is null").withColumn("score", matching_ratio(F.substring("cand", 1, 180), near))
-    best = sure.unionByName(open_).groupBy("doc_id", "visual_ix").agg(F.max_by(F.struct("order_key", "score"), F.struct("score", -F.col("order_key"))).alias("b"))
-    return best.select("doc_id", "visual_ix", "b.order_key", "b.score").where(F.col("score") >= threshold)
+    if len(target) < 12:
+        return None
+    target = target[-1200:] if before else target[:1200]
+    best, at, open_ = 0.0, -1, []
+    for key, text in texts:
+        if len(text) < LEAST:
+            continue
+        if text[:PREFIX] in target:
+            s = 1.0 + min(len(text), 200) / 1000.0
+        elif target[:PREFIX] in text:
+            s = 0.95
+        else:
+            open_.append((key, text[:180]))
+            continue
+        if s > best or s == best and key < at:
+            best, at = s, key
+    if open_ and best <= 1.0:
+        best, at = most_alike(target[-220:] if before else target[:220], open_, threshold, best, at, swap=True)
+    return (at, best) if at >= 0 and best >= threshold else None
 
 
 #: What a chapter's end says, which its picture says again.
 FINISHER_TEXT = r"(?i)chapter complete|scan qr to challenge|make your own part test"
 
 
-def drop_finisher_duplicates(blocks: DataFrame, visuals: DataFrame) -> DataFrame:
-    """Where a finisher picture was recovered, its words and the QR image go."""
-    ends = visuals.where("kind = 'finisher'").select("doc_id").distinct().withColumn("_fin", F.lit(True))
+def finisher_duplicate() -> Column:
+    """Whether a block says again what a finisher picture says: its words, or the QR image."""
     qr = (F.col("block_kind") == "image") & F.contains(F.lower(F.replace(F.concat_ws(" ", "alt", "original_ref"), F.lit(" "), F.lit(""))), F.lit("qrcode"))
     said = (F.col("block_kind") == "text") & F.col("text").rlike(FINISHER_TEXT)
-    return blocks.join(ends, "doc_id", "left").where(F.col("_fin").isNull() | ~F.coalesce(qr | said, F.lit(False))).select(*blocks.columns)
+    return F.coalesce(qr | said, F.lit(False))
 
 
 def recover_visuals(blocks: DataFrame, visuals: DataFrame) -> DataFrame:
     """Recovered pictures among the blocks: openers first, finishers last, figures by table, anchor, or position.
 
-    Anchors are scored beforehand against the text blocks, in one join; only the insertion, in which each picture sees
-    those before it, is a fold per document.
+    Where a finisher was recovered, its words and the QR image go. Anchors are scored against the text blocks of their
+    page. Each picture sees those before it, so this is a fold per document; blocks and pictures meet in one exchange.
     """
-    blocks = drop_finisher_duplicates(blocks, visuals)
-    figures = visuals.where("kind not in ('opener', 'finisher')")
-    tops = []
-    for side, before in (("anchor_before", True), ("anchor_after", False)):
-        s = anchor_scores(figures.withColumnRenamed(side, "anchor"), blocks, before)
-        tops.append(s.select("doc_id", "visual_ix", F.col("order_key").alias(side[7:] + "_key"), F.col("score").alias(side[7:] + "_score")))
-    v = visuals.withColumn("long_before", F.length(match_norm(F.col("anchor_before"))) >= 120)
-    for t in tops:
-        v = v.join(t, ["doc_id", "visual_ix"], "left")
-    slim = blocks.select("doc_id", "order_key", "block_kind", "page", "y", "src", F.aggregate(F.flatten(F.coalesce("grid", F.array())), F.lit(0), lambda n, c: n + F.when(F.trim(c["text"]) == "", 1).otherwise(0)).alias("blanks"))
-
-    def one(key, rows: pd.DataFrame, pics: pd.DataFrame) -> pd.DataFrame:
-        line = rows.sort_values("order_key").to_dict("records")
-        for r in line:
-            r["visual_ix"] = None
-        for p in pics.sort_values("visual_ix").to_dict("records"):
-            new = {"order_key": None, "visual_ix": p["visual_ix"], "block_kind": "image", "page": p["page"], "y": p["y0"], "src": p["src"], "blanks": 0}
-            line = insert_visual(line, p, new)
-        out = pd.DataFrame([{"doc_id": key[0], "old_key": r["order_key"], "visual_ix": r["visual_ix"], "new_key": i} for i, r in enumerate(line)], columns=["doc_id", "old_key", "visual_ix", "new_key"])
-        return out.astype({"old_key": "Int32", "visual_ix": "Int32"})
-
-    new = slim.groupBy("doc_id").cogroup(v.groupBy("doc_id")).applyInPandas(one, "doc_id string, old_key int, visual_ix int, new_key int")
-    old = blocks.withColumnRenamed("order_key", "old_key").join(new.where("old_key is not null").select("doc_id", "old_key", F.col("new_key").alias("order_key")), ["doc_id", "old_key"]).select(*blocks.columns)
-    alt = F.when(F.col("kind") == "opener", "chapter opener").when(F.col("kind") == "finisher", "chapter finisher").otherwise("figure")
-    pics = visuals.join(new.where("visual_ix is not null").select("doc_id", "visual_ix", "new_key"), ["doc_id", "visual_ix"])
-    empty = F.lit("")
+
+    def one(rows: list[tuple]) -> Iterator[tuple]:
+        mine, pics = ([(i, *r[2:]) for i, r in enumerate(rows) if r[1] == side] for side in (0, 1))
+        ends = any(p[2] == "finisher" for p in pics)
+        line: list[dict] = []
+        texts: dict[int, list[tuple[int, str]]] = {}
+        for i, key, kind, page, y, src, blanks, twice, norm, _ in mine:
+            if not (ends and twice):
+                line.append({"order_key": key, "block_kind": kind, "page": _NONE if page is None else page, "y": y, "src": src, "blanks": blanks, "_row": i, "visual_ix": None})
+                if kind == "text" and page is not None:
+                    texts.setdefault(page, []).append((key, norm))
+        for i, ix, kind, page, y, src, _, _, before, after in pics:
+            texts_here, page, y = texts.get(page, []), _NONE if page is None else page, _NONE if y is None else y
+            p = {"kind": kind, "page": page, "y0": y, "long_before": len(before) >= 120, "before_key": None, "before_score": None, "after_key": None, "after_score": None}
+            if kind not in ("opener", "finisher"):
+                for side, said in (("before", before), ("after", after)):
+                    if found := anchor_score(said, texts_here, side == "before"):
+                        p[f"{side}_key"], p[f"{side}_score"] = found
+            line = insert_visual(line, p, {"order_key": None, "visual_ix": ix, "block_kind": "image", "page": page, "y": y, "src": src, "blanks": 0, "_row": i})
+        for place, r in enumerate(line):
+            yield place, r["_row"]
+
+    none = lambda kind: F.lit(None).cast(kind)
+    blanks = F.aggregate(F.flatten(F.coalesce("grid", F.array())), F.lit(0), lambda n, c: n + F.when(F.trim(c["text"]) == "", 1).otherwise(0))
+    own = blocks.select(
+        "doc_id", F.lit(0).alias("_side"), F.col("order_key").alias("_at"), F.col("block_kind").alias("_kind"), F.col("page").alias("_page"), F.col("y").alias("_y"), F.col("src").alias("_src"), blanks.alias("_blanks"), finisher_duplicate().alias("_twice"),
+        F.when(F.col("block_kind") == "text", match_norm(F.col("text"))).alias("_one"), none("string").alias("_two"), F.struct(*blocks.columns).alias("_block"), none(visuals.select(F.struct(*visuals.columns).alias("v")).schema["v"].dataType).alias("_visual"),
+    )
+    new = visuals.select(
+        "doc_id", F.lit(1).alias("_side"), F.col("visual_ix").alias("_at"), F.col("kind").alias("_kind"), F.col("page").alias("_page"), F.col("y0").alias("_y"), F.col("src").alias("_src"), F.lit(0).alias("_blanks"), F.lit(False).alias("_twice"),
+        match_norm(F.col("anchor_before")).alias("_one"), match_norm(F.col("anchor_after")).alias("_two"), none(own.schema["_block"].dataType).alias("_block"), F.struct(*visuals.columns).alias("_visual"),
+    )
+    look = ["_side", "_at", "_kind", "_page", "_y", "_src", "_blanks", "_twice", "_one", "_two"]
+    out = fold(own.unionByName(new), ["_side", "_at"], one, "new_key int", look, ["_block", "_visual"])
+    v, empty = F.col("_visual"), F.lit("")
+    alt = F.when(v["kind"] == "opener", "chapter opener").when(v["kind"] == "finisher", "chapter finisher").otherwise("figure")
     made = {
-        "order_key": F.col("new_key"), "block_kind": F.lit("image"), "type": F.lit("image"), "col": F.lit(0), "x": F.lit(0.0), "y": F.col("y0"), "story_id": empty, "frame_id": empty, "box_group": F.lit(0), "box_kind": empty,
-        "anchored": F.lit(False), "ex_label": F.lit(False), "text": empty, "original_ref": F.concat(F.lit("pdf:p"), F.col("page").cast("string")), "alt": alt, "width": F.col("width_px"), "height": F.col("height_px"), "latex": empty, "fallback_image": empty,
+        "block_kind": F.lit("image"), "type": F.lit("image"), "col": F.lit(0), "x": F.lit(0.0), "y": v["y0"], "story_id": empty, "frame_id": empty, "box_group": F.lit(0), "box_kind": empty,
+        "anchored": F.lit(False), "ex_label": F.lit(False), "text": empty, "original_ref": F.concat(F.lit("pdf:p"), v["page"].cast("string")), "alt": alt, "width": v["width_px"], "height": v["height_px"], "latex": empty, "fallback_image": empty,
     }
-    rows = pics.select(*[(made[c] if c in made else F.col(c) if c in pics.columns else F.lit(None)).cast(blocks.schema[c].dataType).alias(c) for c in blocks.columns])
-    return old.unionByName(rows)
+
+    def cell(c: str) -> Column:
+        kind = blocks.schema[c].dataType
+        if c == "order_key":
+            return F.col("new_key").cast(kind).alias(c)
+        of_visual = made[c] if c in made else v[c] if c in visuals.columns else F.lit(None)
+        return F.when(v.isNotNull(), of_visual.cast(kind)).otherwise(F.col("_block")[c]).alias(c)
+
+    return out.select(*map(cell, blocks.columns))
 
 
 def _place_of(line: list[dict], key) -> int | None:
