@@ -223,7 +223,7 @@ def recover_visuals(blocks: DataFrame, visuals: DataFrame) -> DataFrame:
                         p[f"{side}_key"], p[f"{side}_score"] = found
             line = insert_visual(line, p, {"order_key": None, "visual_ix": ix, "block_kind": "image", "page": page, "y": y, "src": src, "blanks": 0, "_row": i})
         for place, r in enumerate(line):
-            yield place, r["_row"]
+            yield place, r["_row"], r["_row"]
 
     none = lambda kind: F.lit(None).cast(kind)
     blanks = F.aggregate(F.flatten(F.coalesce("grid", F.array())), F.lit(0), lambda n, c: n + F.when(F.trim(c["text"]) == "", 1).otherwise(0))

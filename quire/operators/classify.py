@@ -100,10 +100,18 @@ def is_empty(df_runs: Column) -> Column:
     return (strip(block_text(df_runs)) == "") & ~has_image(df_runs)
 
 
+def is_block(raw: Column, runs: Column) -> Column:
+    """Whether a paragraph becomes a block: not if it is blank and without a graphic."""
+    return (strip(raw) != "") | F.exists(runs, lambda r: r["image_uri"] != "")
+
+
+def type_of(para_style: Column, raw: Column, runs: Column) -> Column:
+    """A paragraph's block type, of its style, its text and the size of its first run."""
+    return block_type(F.coalesce(para_style, F.lit("")), raw, runs[0]["point_size"])
+
+
 def classify(paragraphs: DataFrame) -> DataFrame:
     """``paragraphs`` to text blocks, with their place: blank ones without a graphic are left out."""
-    text = raw_text(F.col("runs"))
-    graphic = F.exists("runs", lambda r: r["image_uri"] != "")
-    out = paragraphs.withColumn("raw", text).where((strip(F.col("raw")) != "") | graphic)
-    kind = block_type(F.coalesce("para_style", F.lit("")), F.col("raw"), F.col("runs")[0]["point_size"])
+    out = paragraphs.withColumn("raw", raw_text(F.col("runs"))).where(is_block(F.col("raw"), F.col("runs")))
+    kind = type_of(F.col("para_style"), F.col("raw"), F.col("runs"))
     return out.withColumn("type", kind).withColumn("runs", inline_runs(F.col("runs"))).withColumn("text", block_text(F.col("runs"))).drop("raw")

@@ -19,18 +19,22 @@ Pass = Callable[[DataFrame], DataFrame]
 
 def clean_spaces(c: Column) -> Column:
     """Line and paragraph separators are spaces; runs of spaces and tabs are one."""
-    return F.regexp_replace(F.regexp_replace(c, "[  ]", " "), "[ \t]+", " ")
+    c = F.translate(c, "\u2028\u2029", "  ")
+    # a single space is what it is to be: only texts with more than that are searched
+    return F.when(F.contains(c, F.lit("  ")) | F.contains(c, F.lit("\t")), F.regexp_replace(c, " [ \t]+|\t[ \t]*", " ")).otherwise(c)
 
 
 def normalize_whitespace(blocks: DataFrame) -> DataFrame:
     """Clean the spaces of every run, then cut blank runs from both ends of a block."""
-    runs = F.transform("runs", lambda r: r.withField("text", clean_spaces(r["text"])))
-    solid = F.transform(runs, lambda r: r["is_image"] | (strip(r["text"]) != ""))
-    first = F.array_position(solid, True).cast("int")
-    last = (F.size(solid) - F.array_position(F.reverse(solid), True) + 1).cast("int")
-    kept = F.when(first > 0, F.slice(runs, first, last - first + 1)).otherwise(F.slice(runs, 1, 0))
-    out = blocks.withColumn("runs", F.when(F.col("block_kind") == "text", kept).otherwise(F.col("runs")))
-    return out.withColumn("text", F.when(F.col("block_kind") == "text", block_text(F.col("runs"))).otherwise(F.col("text")))
+    text = F.col("block_kind") == "text"
+    # column by column, so that none is computed again for each use
+    out = blocks.withColumn("_runs", F.when(text, F.transform("runs", lambda r: r.withField("text", clean_spaces(r["text"])))))
+    out = out.withColumn("_solid", F.transform("_runs", lambda r: r["is_image"] | (strip(r["text"]) != "")))
+    out = out.withColumn("_first", F.array_position("_solid", True).cast("int"))
+    last = (F.size("_solid") - F.array_position(F.reverse("_solid"), True) + 1).cast("int")
+    kept = F.when(F.col("_first") > 0, F.slice("_runs", F.col("_first"), last - F.col("_first") + 1)).otherwise(F.slice("_runs", 1, 0))
+    out = out.withColumn("runs", F.when(text, kept).otherwise(F.col("runs")))
+    return out.withColumn("text", F.when(text, block_text(F.col("runs"))).otherwise(F.col("text"))).select(*blocks.columns)
 
 
 def group_broken(df: DataFrame, by: list[str], order: list, text: Column, joinable: Column, same: list[str], name: str) -> DataFrame:
@@ -67,11 +71,13 @@ def merge_broken(blocks: DataFrame) -> DataFrame:
     space = F.array(F.from_json(F.lit('{"text":" ","bold":false,"italic":false,"superscript":false,"subscript":false,"char_style":"","is_image":false,"src":"","original_ref":"","alt":"","tall":false,"max_h_px":0.0,"latex":""}'), plain))
     runs = F.when(F.coalesce(F.col("_goes_on"), F.lit(False)) & needs_space(F.col("_lead")), F.concat(space, F.col("runs"))).otherwise(F.col("runs"))
     out = out.withColumn("runs", runs)
-    rest = [c for c in blocks.columns if c not in ("doc_id", "runs", "text")]
-    firsts = [F.min_by(c, "order_key").alias(c) for c in rest]
-    ordered = F.sort_array(F.collect_list(F.struct("order_key", "runs")))
-    merged = out.groupBy("doc_id", "_group").agg(*firsts, F.when(F.min("block_kind") == "text", F.flatten(F.transform(ordered, lambda x: x["runs"]))).alias("runs"), F.min_by("text", "order_key").alias("_text"))
-    merged = merged.withColumn("text", F.when(F.col("block_kind") == "text", block_text(F.col("runs"))).otherwise(F.col("_text")))
+    # one list of rows for a group: its first row gives all but the runs
+    ordered = F.sort_array(F.collect_list(F.struct("order_key", *(c for c in blocks.columns if c not in ("doc_id", "order_key")))))
+    merged = out.groupBy("doc_id", "_group").agg(ordered.alias("_rows")).withColumn("_one", F.col("_rows")[0])
+    text = F.col("_one.block_kind") == "text"
+    joined = F.when(text, F.flatten(F.transform("_rows", lambda x: x["runs"])))
+    merged = merged.withColumn("runs", joined).withColumn("text", F.when(text, block_text(F.col("runs"))).otherwise(F.col("_one.text")))
+    merged = merged.select("doc_id", "runs", "text", *(F.col(f"_one.{c}").alias(c) for c in blocks.columns if c not in ("doc_id", "runs", "text")))
     return merged.select(*blocks.columns)
 
 

@@ -15,8 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-#: A walk: the rows of one document, as tuples whose first member is its id, to rows of the result. The last member of
-#: each of these is the place of the row whose ``carry`` columns it takes, or None.
+#: A walk: the rows of one document, as tuples whose first member is its id, to rows of the result. Their last members are
+#: places, one for each column of ``carry``: that of the row from which it is taken, or None.
 Walk = Callable[[list[tuple]], Iterable[tuple]]
 
 
@@ -52,26 +52,25 @@ def fold(rows: DataFrame, order: list[str], walk: Walk, ddl: str, look: list[str
     carry = list(carry)
     made = _parse_datatype_string(ddl)
     assert isinstance(made, StructType)
-    kinds = to_arrow_schema(made)
+    kinds, wide = to_arrow_schema(made), len(made)
     slim = ["doc_id", *look]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole(batches):
             seen = zip(*(table.column(c).to_pylist() for c in slim))
             out: list[tuple] = []
-            picks: list[int | None] = []
             at = 0
+            picks: list[list[int | None]] = [[] for _ in carry]
             for _, group in groupby(seen, itemgetter(0)):
                 own = list(group)
-                for *cells, pick in walk(own):
-                    out.append(cells)
-                    picks.append(None if pick is None else at + pick)
+                for row in walk(own):
+                    out.append(row[:wide])
+                    for into, pick in zip(picks, row[wide:]):
+                        into.append(None if pick is None else at + pick)
                 at += len(own)
             cells = zip(*out) if out else [[] for _ in kinds]
             columns = [pa.array(c, f.type) for c, f in zip(cells, kinds)]
-            if carry:
-                where = pa.array(picks, pa.int64())
-                columns += [table.column(c).combine_chunks().take(where) for c in carry]
+            columns += [table.column(c).combine_chunks().take(pa.array(where, pa.int64())) for c, where in zip(carry, picks)]
             columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
             yield pa.RecordBatch.from_arrays(columns, [*kinds.names, *carry])
 

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .classify import EX_LABEL, LABEL_LENGTH, is_callout_label
 from .cleanup import DOC, ORDER
+from .folds import fold
 from .sequence import islands, renumber, window
 
 #: Headers of question sections, and of a chapter's own questions.
@@ -35,20 +36,23 @@ def merge_anchored(blocks: DataFrame) -> DataFrame:
     return renumber(df, DOC, ["_at", "_later", "_old"], "order_key").select(*blocks.columns)
 
 
+_SEEN = ["order_key", "block_kind", "type", "text", "box_group", "box_kind", "anchored", "ex_label"]
+_WALKED = ("order_key", "box_group", "box_kind", "anchored", "ex_label")
+
+
 def _fold(blocks: DataFrame, walk) -> DataFrame:
     """Apply a walk over the ordered rows of each document, on the few columns that it needs.
 
-    The walk sees dicts and returns them in their new order; other columns meet them again by the old order key.
+    The walk sees dicts and returns them in their new order; other columns follow as they are.
     """
-    slim = blocks.select("doc_id", "order_key", "block_kind", "type", "text", "box_group", "box_kind", "anchored", "ex_label")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = walk(pdf.sort_values("order_key").to_dict("records"))
-        return pd.DataFrame([{"doc_id": r["doc_id"], "old_key": r["order_key"], "order_key": i, "box_group": r["box_group"], "box_kind": r["box_kind"], "anchored": r["anchored"], "ex_label": r["ex_label"]} for i, r in enumerate(rows)], columns=["doc_id", "old_key", "order_key", "box_group", "box_kind", "anchored", "ex_label"])
+    def one(rows: list[tuple]) -> Iterator[tuple]:
+        for i, r in enumerate(walk([dict(zip(_SEEN, r[1:]), _row=at) for at, r in enumerate(rows)])):
+            yield i, r["box_group"], r["box_kind"], r["anchored"], r["ex_label"], r["_row"]
 
-    new = slim.groupBy("doc_id").applyInPandas(one, "doc_id string, old_key int, order_key int, box_group int, box_kind string, anchored boolean, ex_label boolean")
-    kept = blocks.drop("box_group", "box_kind", "anchored", "ex_label").withColumnRenamed("order_key", "old_key")
-    return kept.join(new, ["doc_id", "old_key"]).select(*blocks.columns)
+    rest = F.struct(*(c for c in blocks.columns if c not in _WALKED)).alias("_rest")
+    out = fold(blocks.select("doc_id", *_SEEN, rest), ["order_key"], one, "order_key int, box_group int, box_kind string, anchored boolean, ex_label boolean", _SEEN, ["_rest"])
+    return out.select(*(F.col(c) if c in _WALKED else F.col(f"_rest.{c}") for c in blocks.columns))
 
 
 def _says(pattern: str):
@@ -92,13 +96,14 @@ def example_walk(rows: list[dict]) -> list[dict]:
         for k in mine:
             rows[k] |= {"box_group": box, "box_kind": "example"}
     out: list[dict] = []
-    while rows:
-        n = 1
-        if rows[0]["box_group"] and rows[0]["box_kind"] == "example":
-            while n < len(rows) and rows[n]["box_group"] == rows[0]["box_group"]:
-                n += 1
-        out += sorted(rows[:n], key=lambda r: not r["ex_label"]) if rows[0]["box_kind"] == "example" else rows[:n]
-        rows = rows[n:]
+    at = 0
+    while at < len(rows):
+        first, end = rows[at], at + 1
+        if first["box_group"] and first["box_kind"] == "example":
+            while end < len(rows) and rows[end]["box_group"] == first["box_group"]:
+                end += 1
+        out += sorted(rows[at:end], key=lambda r: not r["ex_label"]) if first["box_kind"] == "example" else rows[at:end]
+        at = end
     return out
 
 
@@ -132,3 +137,8 @@ def group_examples(blocks: DataFrame) -> DataFrame:
 def hoist_question_headers(blocks: DataFrame) -> DataFrame:
     """Question headers above their questions. A fold per document, as moved rows are seen by the next header."""
     return _fold(blocks, question_walk)
+
+
+def group_questions(blocks: DataFrame) -> DataFrame:
+    """:func:`group_examples`, then :func:`hoist_question_headers`, in one fold."""
+    return _fold(blocks, lambda rows: question_walk(example_walk(rows)))

@@ -92,7 +92,10 @@ def inline_images(blocks: DataFrame, equations: DataFrame, assets: DataFrame, pa
     sizes of converted ones. Each distinct reference is resolved once, then joined to its runs. Only references
     without an equation reach the parser of file contents.
     """
-    refs = blocks.where("runs is not null").select("doc_id", F.explode("runs").alias("r")).where("r.is_image and r.original_ref <> ''").select("doc_id", F.col("r.original_ref").alias("ref")).distinct()
+    # texts without a graphic stay as they are, and out of the joins
+    graphic = F.coalesce(F.exists("runs", lambda r: r["is_image"] & (r["original_ref"] != "")), F.lit(False))
+    plain, blocks = blocks.where(~graphic), blocks.where(graphic)
+    refs = blocks.select("doc_id", F.explode("runs").alias("r")).where("r.is_image and r.original_ref <> ''").select("doc_id", F.col("r.original_ref").alias("ref")).distinct()
     known = equation_lookup(refs, equations)
     hit = known.where("latex is not null").select("doc_id", "ref", "latex", F.coalesce("display", F.lit(False)).alias("tall"))
     rest = known.where("latex is null").select("doc_id", "ref")
@@ -114,14 +117,14 @@ def inline_images(blocks: DataFrame, equations: DataFrame, assets: DataFrame, pa
         F.when(lat | F.coalesce(F.col("height") <= 0, F.lit(True)), 0.0).otherwise(F.bround(F.col("height") * 96.0 / dpi, 1)).alias("max_h_px"),
     )
     found = hit.select("doc_id", "ref", "latex", "tall", F.lit("").alias("src"), F.lit("").alias("alt"), F.lit(0.0).alias("max_h_px")).unionByName(image)
-    runs = blocks.where("runs is not null").select("doc_id", "order_key", F.posexplode("runs").alias("ix", "r"))
+    runs = blocks.select("doc_id", "order_key", F.posexplode("runs").alias("ix", "r"))
     runs = runs.join(found.withColumnRenamed("doc_id", "d"), (F.col("doc_id") == F.col("d")) & (F.col("r.original_ref") == F.col("ref")) & F.col("r.is_image"), "left")
     new = F.col("r")
     for f in ("latex", "tall", "src", "alt", "max_h_px"):
         new = new.withField(f, F.coalesce(F.col(f), F.col("r." + f)))
     again = runs.select("doc_id", "order_key", F.struct("ix", new.alias("r")).alias("x")).groupBy("doc_id", "order_key").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["r"]).alias("_runs"))
     out = blocks.join(again, ["doc_id", "order_key"], "left")
-    return out.withColumn("runs", F.coalesce("_runs", "runs")).select(*blocks.columns)
+    return plain.unionByName(out.withColumn("runs", F.coalesce("_runs", "runs")).select(*blocks.columns))
 
 
 def present_and_missing(refs: DataFrame, files: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

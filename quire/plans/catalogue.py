@@ -203,9 +203,11 @@ def package_parts(docs: DataFrame) -> DataFrame:
     story = F.concat(F.lit('<Story_><Story Self="'), sid, F.lit('">'), F.array_join(F.transform(lines, para), ""), F.lit("</Story></Story_>"))
     spread = F.concat(F.lit('<Spread_><Spread Self="s"><Page Self="p" Name="1" GeometricBounds="0 0 792 612" ItemTransform="1 0 0 1 0 0"/><TextFrame Self="t" ParentStory="'), sid, F.lit('" GeometricBounds="50 50 300 300" ItemTransform="1 0 0 1 0 0"/></Spread></Spread_>'))
     designmap = F.concat(F.lit('<Document StoryList="'), sid, F.lit('"><Spread src="Spreads/Spread_s.xml"/></Document>'))
-    part = lambda n, b: F.struct(F.lit(n).alias("part_name"), F.encode(b, "UTF-8").alias("body"))
-    rows = docs.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".idml")).alias("doc_id"), F.explode(F.array(part("designmap.xml", designmap), part("Stories/Story_a.xml", story), part("Spreads/Spread_s.xml", spread))).alias("p"))
-    return rows.select("doc_id", "p.*")
+    # names first: a part's body is made only where that part is read
+    bodies = {"designmap.xml": designmap, "Stories/Story_a.xml": story, "Spreads/Spread_s.xml": spread}
+    rows = docs.select("doc_id", "text", F.explode(F.array(*map(F.lit, bodies))).alias("part_name"))
+    body = F.coalesce(*(F.when(F.col("part_name") == n, F.encode(b, "UTF-8")) for n, b in bodies.items()))
+    return rows.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".idml")).alias("doc_id"), "part_name", body.alias("body"))
 
 
 @_query(f"""SELECT 'doc' || doc_id || '.idml' AS doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY para_ix) - 1)::BIGINT AS para_ix, text FROM {_LINES} WHERE text <> ''""")

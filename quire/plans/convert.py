@@ -67,8 +67,7 @@ def convert(parts: DataFrame, config: ConversionConfig | None = None, links: Dat
         if visuals is not None:
             blocks = cut(align.recover_visuals(blocks, visuals), "blocks")
         say("align", "blocks aligned with the second source", progress=0.8)
-    blocks = cut(grouping.group_examples(grouping.merge_anchored(blocks)), "blocks")
-    blocks = cut(grouping.hoist_question_headers(blocks), "blocks")
+    blocks = cut(grouping.group_questions(grouping.merge_anchored(blocks)), "blocks")
     say("group", "boxes, examples and questions grouped", progress=0.9)
     sectioned = sections.section_blocks(blocks)
     secs = sections.sections(sectioned)
