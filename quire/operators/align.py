@@ -131,6 +131,7 @@ def align_positions(blocks: DataFrame, pdf_blocks: DataFrame, threshold: float =
 
     def one(rows: list[tuple]) -> Iterator[tuple]:
         mine, cand = ([(i, *r[2:]) for i, r in enumerate(rows) if r[1] == side] for side in (0, 1))
+        cand = [r for r in cand if len(r[2]) >= LEAST]  # here, as a filter would norm each text twice
         norms = [r[2] for r in cand]
         total, cursor, seen, above = sum(r[1] == "text" for r in mine), 0, -1, None
         for i, kind, needle, page, y in mine:
@@ -154,7 +155,7 @@ def align_positions(blocks: DataFrame, pdf_blocks: DataFrame, threshold: float =
     row = F.struct(*rest).alias("_row")
     own = blocks.select("doc_id", F.lit(0).alias("_side"), "block_kind", F.when(text, match_norm(F.col("text"))).alias("_norm"), "page", "y", F.col("order_key").alias("_at"), F.lit(None).cast("int").alias("_then"), row)
     norm = pdf_blocks.select("doc_id", F.lit(1).alias("_side"), F.lit(None).cast("string").alias("block_kind"), match_norm(F.col("text")).alias("_norm"), "page", F.col("y0").alias("y"), F.col("page").alias("_at"), F.col("block_ix").alias("_then"), F.lit(None).cast(own.schema["_row"].dataType).alias("_row"))
-    both = own.unionByName(norm.where(F.length("_norm") >= LEAST))
+    both = own.unionByName(norm)
     kinds = {f.name: f.dataType.simpleString() for f in both.schema.fields}
     out = fold(both, ["_side", "_at", "_then"], one, f"page {kinds['page']}, y {kinds['y']}", ["_side", "block_kind", "_norm", "page", "y"], ["_row"])
     return out.select(*(F.col(c) if c in ("page", "y") else F.col(f"_row.{c}") for c in blocks.columns))
